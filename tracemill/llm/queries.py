@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import benchmark, licenses, secrets
+from . import benchmark, language, licenses, lines, secrets, shingles, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +30,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
 
+@_query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(_documents(spark, sf_dir))
+
+
+@_query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.round_trip(_documents(spark, sf_dir))
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_documents(spark, sf_dir))
+
+
+@_query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.clean_lines(_documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLE["op8_line_dedup"] = lines.SQL
+
+
 @_query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
