@@ -51,17 +51,25 @@ def _keys(x: np.ndarray, starts: np.ndarray, plan: Plan, repetition: int, widths
     """Keys of the windows that begin at ``starts``; one walk serves all widths. x ends each text with a 0."""
     bits = mix(x, 1000 + repetition)
     bits[x == 0] = 0  # the walk rests on a text's end
-    key = {w: np.full(len(starts), U(w * 2 + 1)) for w in widths}
+    return _walk(bits, starts, plan, repetition, widths)
+
+
+def _walk(bits: np.ndarray, starts: np.ndarray, plan: Plan, repetition: int, widths: list[int]) -> dict[int, np.ndarray]:
+    """Key: a sum of the sampled words, each times an odd number of its step."""
+    factor = mix(np.arange(64, dtype=U), plan.seed) | U(1)
+    key = {w: np.full(len(starts), U(w)) for w in widths}
     sampled = {w: set(plan.steps(w, repetition).tolist()) for w in widths}
-    at = starts.copy()
-    for j in range(2 * max(widths)):
-        here = [w for w in widths if j in sampled[w]]
-        word = bits.take(at)
-        for w in here:
-            key[w] = (key[w] ^ word) * _FOLD
-            key[w] ^= key[w] >> U(29)
-        at += ((word >> U(j)) & U(1)).astype(np.int64)
-    return key
+    at, word, spare = starts.astype(np.int64), np.empty(len(starts), U), np.empty(len(starts), U)
+    for j in range(max(map(max, sampled.values())) + 1):
+        np.take(bits, at, out=word, mode="clip")
+        for w in widths:
+            if j in sampled[w]:
+                np.multiply(word, factor[j], out=spare)
+                key[w] += spare
+        word >>= U(j)
+        word &= U(1)
+        at += word.view(np.int64)
+    return {w: mix(k) for w, k in key.items()}
 
 
 class _Index:
@@ -89,14 +97,13 @@ class _Index:
                 seen[key >> U(44)] = True
                 self.tables[w, r] = (key[order], np.concatenate(item)[order], np.concatenate(anchor)[order], seen)
 
-    def candidates(self, x: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
-        """Distinct rows (place where the item would begin, item)."""
-        found = []
-        for r in range(self.plan.repetitions):
-            for lo in range(0, len(x), chunk):
-                starts = np.arange(lo, min(len(x), lo + chunk))
-                reach = 2 * self.widths[-1] + 1
-                local = np.append(x[lo : lo + chunk + reach], U(0))
+    def candidates(self, x: np.ndarray, chunk: int = 1 << 13) -> np.ndarray:
+        """Distinct rows (place where the item would begin, item). Chunks fit a processor's cache."""
+        found, reach = [], 2 * self.widths[-1] + 1
+        for lo in range(0, len(x), chunk):
+            starts = np.arange(lo, min(len(x), lo + chunk))
+            local = np.append(x[lo : lo + chunk + reach], U(0))
+            for r in range(self.plan.repetitions):
                 for w, key in _keys(local, starts - lo, self.plan, r, self.widths).items():
                     keys, item, anchor, seen = self.tables[w, r]
                     some = np.flatnonzero(seen[key >> U(44)])
@@ -144,21 +151,23 @@ def _matches(batch: pa.RecordBatch, index: _Index) -> Iterator[pa.RecordBatch]:
             continue
         # A candidate's document is that of its window, which the anchor shifts by less than the item: clip to it below.
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
         for place, k in hits.tolist():
             words = index.items[k][1]
             middle = min(max(place + min(len(words), index.width[k]) // 2, 0), len(x) - 1)
             for doc in {int(np.searchsorted(end, max(place, 0), "left")), int(np.searchsorted(end, middle, "left")), int(np.searchsorted(end, min(place + len(words) - 1, len(x) - 1), "left"))}:
                 if doc >= n or begin[doc] == end[doc]:
                     continue
-                slack = int(share * len(words)) + 1
-                if place - done.get((doc, k), -(10**18)) <= slack and (doc, k) in best and best[doc, k][0] == 0:
+                if (doc, k) in best and best[doc, k][0] == 0:
                     continue
+                slack = int(share * len(words)) + 1
                 lo, hi = max(begin[doc], place - slack), min(end[doc], place + len(words) + slack)
-                if hi <= lo:
+                # Every item word that the stretch lacks is an edit.
+                if hi <= lo or len(words) - np.isin(words, x[lo:hi]).sum() > share * len(words):
                     continue
-                d, a, b = edit_within(words, x[lo:hi])
-                done[doc, k] = place
+                if place >= lo and np.array_equal(x[place : place + len(words)], words):
+                    d, a, b = 0, place - lo, place - lo + len(words)
+                else:
+                    d, a, b = edit_within(words, x[lo:hi])
                 if d <= share * len(words):
                     told = (d, int(lo - begin[doc] + a), int(lo - begin[doc] + b - 1))
                     best[doc, k] = min(best.get((doc, k), told), told)
