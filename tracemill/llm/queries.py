@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, language, licenses, lines, secrets, shingles, subwords
+from . import benchmark, dedup, language, licenses, lines, quality, secrets, shingles, subwords, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,11 +40,24 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip(_documents(spark, sf_dir))
 
 
+@_query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+ORACLE["op5_exact_dedup"] = dedup.SQL
+
+
 @_query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_documents(spark, sf_dir))
 
 
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @_query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.clean_lines(_documents(spark, sf_dir))
@@ -57,3 +70,8 @@ ORACLE["op8_line_dedup"] = lines.SQL
 @_query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
