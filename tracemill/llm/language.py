@@ -52,16 +52,14 @@ def _runs(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of the whole text, in pieces of bounded size."""
-    table, parts = letter_classes(), []
-    for lo in range(0, len(text), _CHUNK):
-        part = text[max(lo - 1, 0) : lo + _CHUNK + 2]
-        points = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
-        c = table.take(np.minimum(points, len(table) - 1)).astype(np.int32)
-        c = c if lo else np.append(np.int32(0), c)  # an edge before the text; else the letter before the piece
-        c = np.append(c, np.zeros(2, np.int32))
-        n = min(_CHUNK, len(text) - lo) + (lo + _CHUNK >= len(text))
-        begin = 1 if lo else 0
-        a, b, d = (c[begin + i : begin + i + n] for i in range(3))
+    table, parts, total = letter_classes(), [], len(text) + 1 if text else 0
+    for lo in range(0, total, _CHUNK):  # n-grams that begin at places lo to hi; place 0 is the edge before the text
+        hi = min(lo + _CHUNK, total)
+        points = np.frombuffer(text[max(lo - 1, 0) : hi + 1].encode("utf-32-le", "replace"), np.uint32)
+        c = np.zeros(hi - lo + 2, np.int32)
+        begin = 0 if lo else 1
+        c[begin : begin + len(points)] = table.take(np.minimum(points, len(table) - 1))
+        a, b, d = c[:-2], c[1:-1], c[2:]
         two, three = (a > 0) | (b > 0), (b > 0) & ((a > 0) | (d > 0))
         parts.append(_runs(np.concatenate([a[a > 0] | 1 << 24, ((a << 8) | b)[two] | 2 << 24, ((a << 16) | (b << 8) | d)[three] | 3 << 24])))
     if len(parts) == 1:
