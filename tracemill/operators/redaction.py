@@ -73,37 +73,40 @@ def redact_typed(df: DataFrame, max_depth: int = MAX_REDACTION_DEPTH) -> DataFra
 def redact_leaves(df: DataFrame, keep: list[str], doc: str = "doc", max_depth: int = MAX_REDACTION_DEPTH, levels: int | None = None) -> DataFrame:
     """One row for each leaf: ``path``, ``level``, ``key`` and ``value`` (JSON text, masked where it must be).
 
-    Each level is one narrow explode of the members, no shuffle. ``levels`` bounds how deep the plan
-    goes when the tables' depth is known; it must cover the deepest document (rows beyond it raise an error).
+    Each level is one narrow explode of the open nodes, no shuffle; finished leaves pass through. ``levels``
+    bounds how deep the plan goes when the documents' depth is known; a deeper document raises an error.
     """
     steps = min(_checked(max_depth), levels if levels is not None else max_depth)
-    at = df.select(*keep, F.col(doc).alias("v"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"))
-    found = None
+    none = F.lit(None).cast("string")
+    at = df.select(*keep, F.lit("$").alias("path"), F.lit(0).alias("level"), none.alias("key"), none.alias("value"), F.col(doc).alias("v"))
     for level in range(steps + 1):
-        # A sensitive key masks its value even at the depth limit; the limit comes next.
-        masked = F.coalesce(is_sensitive(F.col("key")), F.lit(False))
-        kind = F.schema_of_variant(F.col("v"))
-        inner = kind.rlike("^(OBJECT<.|ARRAY<.)") & ~kind.isin("OBJECT<>", "ARRAY<VOID>") | (kind == "ARRAY<VOID>") & F.try_variant_get("v", "$[0]", "variant").isNotNull()
-        cut = F.lit(level >= max_depth)
-        stop = masked | cut | ~inner
-        if level == steps and steps < max_depth:
-            stop = stop | F.raise_error(F.lit("a document is deeper than the stated levels")).cast("boolean")
-        value = F.when(masked, F.lit(f'"{REDACTED}"')).when(cut, F.lit(f'"{DEPTH_LIMITED}"')).otherwise(F.to_json("v"))
-        leaves = at.where(stop).select(*keep, "path", F.lit(level).alias("level"), "key", value.alias("value"))
-        found = leaves if found is None else found.unionByName(leaves)
-        if level == steps:
-            break
-        at = _children(at.where(~stop), keep)
-    return found
-
-
-def _children(at: DataFrame, keep: list[str]) -> DataFrame:
-    """The members of objects and arrays, one row each. The path quotes every key, so it names one place."""
-    as_map = F.try_variant_get("v", "$", "map<string,variant>")
-    as_list = F.try_variant_get("v", "$", "array<variant>")
+        at = at.select(*keep, "path", "level", "key", _finished(level, max_depth, steps).alias("value"), "v")
+        if level < steps:
+            at = at.select(*keep, F.explode(_members(level + 1)).alias("m")).select(*keep, "m.path", "m.level", "m.key", "m.value", "m.v")
+    return at.drop("v")
+
+
+def _finished(level: int, max_depth: int, steps: int) -> Column:
+    """The text of a leaf; null where the node is open. A sensitive key masks even at the depth limit; the limit comes next."""
+    kind = F.schema_of_variant(F.col("v"))
+    empty = kind.isin("OBJECT<>", "ARRAY<VOID>") & F.try_variant_get("v", "$[0]", "variant").isNull()
+    text = F.when(~kind.rlike("^(OBJECT|ARRAY)<") | empty, F.to_json("v"))
+    if level >= max_depth:
+        text = F.lit(f'"{DEPTH_LIMITED}"')
+    elif level == steps:
+        text = F.coalesce(text, F.raise_error(F.lit("a document is deeper than the stated levels")).cast("string"))
+    masked = F.when(F.coalesce(is_sensitive(F.col("key")), F.lit(False)), F.lit(f'"{REDACTED}"'))
+    return F.when(F.col("value").isNotNull(), F.col("value")).when(masked.isNotNull(), masked).otherwise(text)
+
+
+def _members(level: int) -> Column:
+    """An open node's members, or a leaf as it is. The path quotes every key, so it names one place."""
     none = F.lit(None).cast("string")
-    members = F.coalesce(
-        F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("k"), F.concat(F.lit("["), F.to_json(e["key"].cast("variant")), F.lit("]")).alias("p"), e["value"].alias("x"))),
-        F.transform(as_list, lambda x, i: F.struct(none.alias("k"), F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("p"), x.alias("x"))),
-    )
-    return at.select(*keep, "path", F.explode(members).alias("m")).select(*keep, F.col("m.x").alias("v"), F.concat("path", "m.p").alias("path"), F.col("m.k").alias("key"))
+
+    def row(key: Column, step: Column, v: Column) -> Column:
+        return F.struct(F.concat("path", F.lit("["), step, F.lit("]")).alias("path"), F.lit(level).alias("level"), key.alias("key"), none.alias("value"), v.alias("v"))
+
+    as_map = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: row(e["key"], F.to_json(e["key"].cast("variant")), e["value"]))
+    as_list = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: row(none, i.cast("string"), x))
+    own = F.array(F.struct("path", "level", "key", "value", F.lit(None).cast("variant").alias("v")))
+    return F.when(F.col("value").isNotNull(), own).otherwise(F.coalesce(as_map, as_list))
