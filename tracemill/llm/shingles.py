@@ -7,14 +7,16 @@ fewer words the whole sequence). Two texts link when 100 * intersection >= 75 *
 2. A class keeps going only if enough of its shingles stand in another class too: with a partner it shares
    all but n // 4. Half of the hash space is counted, which is exact as long as more than n // 4 of a set
    lies in it (smaller sets keep going). The shingles travel in packed blocks, not in rows.
-3. Contraction: classes with the same least hash meet in blocks of bounded size and are joined there in a
-   prefix tree; every block hands on one class of each component it finds. A hot key is salted into many
-   blocks first, with ever fewer salts. All links are verified, so nothing false is joined.
+3. Contraction: classes with the same least hash, under any of three hash functions, meet in blocks of
+   bounded size and are joined there in a prefix tree; every block hands on one class of each component it
+   finds. A hot key is salted into many blocks first, with ever fewer salts. All links are verified, so
+   nothing false is joined.
 4. The count of step 2 again over all shingles, now for shingles that stand in two components: what is left
    can still have links across components.
-5. For those, all remaining links: sets are ordered by global frequency, rarest first; classes meet under
-   each shingle of their prefix (n // 4 + 1 shingles) and size band; hot groups are cut into blocks that
-   meet pairwise; each meeting is a prefix-tree join.
+5. Of those, the classes that share enough with one size band of one other component, and for them all remaining links: sets are ordered by global frequency, rarest first; classes meet under
+   each shingle of their prefix (n // 4 + 1 shingles) and size band; of the shingles under which the same
+   classes would meet, one is taken; hot groups are cut into blocks that meet pairwise; each meeting is a
+   prefix-tree join.
 6. Components of components, by label propagation over written tables.
 
 In the tree, sets with the same beginning share it, with the overlap counted so far; a subtree is left as
@@ -27,11 +29,12 @@ component and link with nothing; rows that share an id but not a text are apart
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import SPACED, U, map_rows, mix, pieces, settle, words_of
@@ -220,7 +223,9 @@ def tree_join(sets: list[np.ndarray], group: list[int]) -> list[tuple[int, int]]
         return []
     links: list[tuple[int, int]] = []
     start = _tree(sets, rows, 0)
-    for x in rows:
+    # One side of every pair is outside the largest group.
+    largest, size = Counter(group).most_common(1)[0]
+    for x in rows if size == 1 else [r for r in rows if group[r] != largest]:
         own, n = sets[x], len(sets[x])
         todo = [(start, 0, 0)]
         while todo:
@@ -246,43 +251,50 @@ def tree_join(sets: list[np.ndarray], group: list[int]) -> list[tuple[int, int]]
 # -- Step 3
 
 
-_SETS = "c long, tag long, n long, rep long, tokens binary"
+_SETS = "c long, n long, rep long, tokens binary, k0 long, k1 long, k2 long"
+_KEYS = 3
 
 
-def _contract(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks under the least hash, over and over with fewer salts: ``(c, root)`` for all, and how the sets look then."""
-    key = F.substring("tokens", 1, 8)
-    most = sets.groupBy(key.alias("k")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    salts = -(-most // BLOCK)
-    live, chain = sets, None
+def _least(x: np.ndarray) -> list[int]:
+    """The set's least hash under each hash function."""
+    return np.array([x[0], *(mix(x, 40 + k).min() for k in range(1, _KEYS))], U).view(np.int64).tolist()
 
-    def join(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(t, U) for t in table.column("tokens").to_pylist()]
-        classes = table.column("c").to_pylist()
-        leader = {c: c for c in classes}
 
-        def find(c: int) -> int:
-            while leader[c] != c:
-                c = leader[c]
-            return c
+def _block_links(table: pa.Table) -> pa.Table:
+    """One block: for each class, the class that stands for its component here."""
+    classes = table.column("c").to_pylist()
+    leader = {c: c for c in classes}
+
+    def find(c: int) -> int:
+        while leader[c] != c:
+            leader[c] = leader[leader[c]]
+            c = leader[c]
+        return c
 
-        for a, b in tree_join(own, classes):
+    if len(classes) > 1:
+        for a, b in tree_join([np.frombuffer(t, U) for t in table.column("tokens").to_pylist()], classes):
             a, b = sorted((find(classes[a]), find(classes[b])))
             leader[b] = a
-        return pa.table({"c": classes, "leader": pa.array([find(c) for c in classes], pa.int64())}, schema=pa.schema([("c", pa.int64()), ("leader", pa.int64())]))
-
-    while True:
-        salted = live.withColumn("k", key).withColumn("s", F.pmod(F.col("c"), F.lit(max(1, salts))))
-        told = settle(salted.select("k", "s", "c", "tokens").groupBy("k", "s").applyInArrow(join, "c long, leader long"))
-        if chain is None:
-            chain = told.select("c", F.col("leader").alias("root"))
-        else:
-            step = told.select(F.col("c").alias("root"), "leader")
-            chain = chain.join(step, "root", "left").select("c", F.coalesce("leader", "root").alias("root"))
-        if salts <= 1:
-            return settle(chain), sets
-        live = live.join(told.where("c = leader").select("c"), "c", "left_semi")
-        salts = salts // 16
+    return pa.table({"c": pa.array(classes, pa.int64()), "leader": pa.array([find(c) for c in classes], pa.int64())})
+
+
+def _contract(sets: DataFrame) -> DataFrame:
+    """``a, b``: links found in blocks under the least hashes, over and over with fewer salts."""
+    edges = None
+    for k in range(_KEYS):
+        key = f"k{k}"
+        most = sets.groupBy(key).agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+        salts, live = max(1, -(-most // BLOCK)), sets.select("c", "tokens", key)
+        while True:
+            salted = live.withColumn("s", F.pmod(F.col("c"), F.lit(salts)))
+            told = settle(salted.groupBy(key, "s").applyInArrow(_block_links, "c long, leader long"))
+            found = told.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))
+            edges = found if edges is None else edges.unionByName(found)
+            if salts == 1:
+                break
+            live = live.join(told.where("c = leader").select("c"), "c", "left_semi")
+            salts = max(1, salts // 16)
+    return edges
 
 
 # -- Step 6
@@ -305,6 +317,34 @@ def components(edges: DataFrame) -> DataFrame:
 # -- Step 5
 
 
+def _band(step: float = 4.0 / 3) -> Column:
+    """J >= 3/4 keeps sizes within a factor of 4/3, so with that step partners lie in the same band or in neighbouring ones."""
+    return F.floor(F.log(F.col("n") + F.lit(0.0)) / F.log(F.lit(step)) + F.lit(1e-9)).cast("int")
+
+
+def _may_link(each: DataFrame, light: int = 64) -> DataFrame:
+    """The rows ``c, tag, n, token`` of classes that share enough with one band of one other component to link with it.
+
+    J >= 3/4 means that 7 * intersection >= 3 * (n + the partner's size), and a band has a least size. Shingles
+    of over ``light`` such bands count as shared with any, so a shingle gives few rows and nothing is lost.
+    """
+    step, reach = 1.05, 6  # 1.05 ** 6 > 4 / 3
+    places = each.select("token", F.col("tag").alias("other"), _band(step).alias("theirs")).distinct()
+    spread = places.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
+    near = places.join(spread.where(F.col("g") <= light).select("token"), "token")
+    met = each.select("c", "tag", "token", _band(step).alias("own")).join(near, "token").where(f"tag <> other AND abs(own - theirs) <= {reach}")
+    # What the shared shingles leave over, at best, after the partner's part of the bound.
+    over = 7 * F.col("s") - 3 * F.pow(F.lit(step), F.col("theirs"))
+    shared = met.groupBy("c", "other", "theirs").agg(F.count("*").alias("s")).groupBy("c").agg(F.max(over).alias("over"))
+    hot = each.join(spread.where(F.col("g") > light).select("token"), "token").groupBy("c").agg(F.count("*").alias("hot"))
+    classes = each.select("c", "n").distinct().join(shared, "c", "left").join(hot, "c", "left")
+    hot_part = 7 * F.coalesce("hot", F.lit(0))
+    light_link = F.coalesce("over", F.lit(-1e18)) + hot_part >= 3 * F.col("n") - 1e-6
+    hot_link = hot_part >= 3 * F.col("n") * 1.75 - 1e-6  # a partner has 3/4 of the size at least
+    kept = classes.where(light_link | hot_link).select("c")
+    return each.join(kept, "c", "left_semi")
+
+
 def _late_links(left: DataFrame) -> DataFrame:
     """``a, b``: links between tags among ``c, tag, n, tokens``."""
 
@@ -314,23 +354,28 @@ def _late_links(left: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v), pa.int64()) for v in (c, tag, n)] + [pa.array(x)], ["c", "tag", "n", "token"])
 
     each = settle(map_rows(left.select("c", "tag", "n", "tokens"), rows, "c long, tag long, n long, token long"))
+    each = settle(_may_link(each))
     counts = each.groupBy("token").agg(F.count("*").alias("f"), (F.min("tag") != F.max("tag")).alias("mixed"))
     # Global order: how often a shingle stands here, in powers of two, then its hash.
     seen = each.join(counts, "token").select("c", "tag", "n", "mixed", F.expr("least(15, floor(log2(f)))").cast("long").alias("level"), "token")
     listed = settle(seen.groupBy("c", "tag", "n").agg(F.sort_array(F.collect_list(F.struct("level", F.expr("shiftrightunsigned(token, 4)").alias("h"), "mixed"))).alias("x")))
     order = listed.select("c", "tag", "n", F.transform("x", lambda e: F.shiftleft(e["level"], 60).bitwiseOR(e["h"])).alias("keys"))
-    lead = listed.select("c", "n", F.explode(F.slice("x", F.lit(1), (F.floor(F.col("n") / 4) + 1).cast("int"))).alias("e")).where("e.mixed")
-    # J >= 3/4 keeps sizes within a factor of 4/3: a group holds two neighbouring bands.
-    band = F.floor(F.log(F.col("n") + F.lit(0.0)) / F.log(F.lit(4.0 / 3)) + F.lit(1e-9)).cast("int")
-    post = lead.select("c", F.col("e.level").alias("level"), F.col("e.h").alias("h"), F.explode(F.array(band, band - 1)).alias("band"))
-    size = post.groupBy("level", "h", "band").agg(F.count("*").alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    part = post.join(size.drop("m"), ["level", "h", "band"]).withColumn("p", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+    lead = listed.select("c", "tag", "n", F.explode(F.slice("x", F.lit(1), (F.floor(F.col("n") / 4) + 1).cast("int"))).alias("e")).where("e.mixed")
+    # A group holds two neighbouring bands.
+    band = _band()
+    post = lead.select("c", "tag", F.col("e.level").alias("level"), F.col("e.h").alias("h"), F.explode(F.array(band, band - 1)).alias("band"))
+    met = post.groupBy("level", "h", "band").agg(F.count("*").alias("m"), (F.min("tag") != F.max("tag")).alias("across"), F.bit_xor(F.xxhash64("c")).alias("who"), F.sum(F.pmod(F.xxhash64("c", F.lit(1)), F.lit(1 << 40))).alias("who2")).where("across")
+    one = met.groupBy("band", "m", "who", "who2").agg(F.min(F.struct("level", "h")).alias("e"))
+    size = settle(one.select("band", "e.level", "e.h", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    part = post.select("c", "level", "h", "band").join(size, ["level", "h", "band"]).withColumn("p", F.pmod(F.xxhash64("c"), "parts").cast("int"))
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"))))
     cells = part.select("c", "level", "h", "band", cell.alias("cell")).join(order, "c")
 
     def join(table: pa.Table) -> pa.Table:
         tags = table.column("tag").to_pylist()
-        links = tree_join([np.array(k, np.int64).view(U) for k in table.column("keys").to_pylist()], tags) if len(set(tags)) > 1 else []
+        lists = table.column("keys").combine_chunks()
+        values, at = lists.values.to_numpy(zero_copy_only=False).view(U), lists.offsets.to_numpy()
+        links = tree_join([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], tags) if len(set(tags)) > 1 else []
         return pa.table({"a": pa.array([tags[x] for x, _ in links], pa.int64()), "b": pa.array([tags[y] for _, y in links], pa.int64())})
 
     return cells.groupBy("level", "h", "band", "cell.i", "cell.j").applyInArrow(join, "a long, b long").distinct()
@@ -354,16 +399,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         wanted = zip(batch.column("c").to_pylist(), batch.column("c2").to_pylist(), batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True)
-        rows = [(c, c, len(x), rep, x.tobytes()) for c, c2, rep, x in wanted if len(x) and class_of(x) == (c, c2)]
+        rows = [(c, len(x), rep, x.tobytes(), *_least(x)) for c, c2, rep, x in wanted if len(x) and class_of(x) == (c, c2)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["c", "tag", "n", "rep", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.binary(),) + (pa.int64(),) * _KEYS, strict=True)], ["c", "n", "rep", "tokens", "k0", "k1", "k2"])
 
     with_text = _texts(docs).join(alive, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "c", "c2")
     held = settle(map_rows(with_text, sets, _SETS))
     if _repeated(own):
         held = settle(held.dropDuplicates(["c"]))
-    roots, _ = _contract(held)
-    tagged = held.drop("tag").join(roots.withColumnRenamed("root", "tag"), "c")
+    joined = components(_contract(held))
+    roots = settle(held.select("c").join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root")))
+    tagged = held.select("c", "n", "tokens").join(roots.withColumnRenamed("root", "tag"), "c")
 
     def from_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         for c, tag, t in zip(*(batch.column(k).to_pylist() for k in ("c", "tag", "tokens")), strict=True):
