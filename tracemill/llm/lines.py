@@ -9,7 +9,7 @@ A document that would lose over ``most_removed`` of its characters is a copy of
 a page with boilerplate; it stays as it is, for the operators that compare whole documents.
 
 Defined results: null text stays null (no lines), a null source counts as one site, repeated rows are
-treated alike. All DataFrame functions; every join is on hashed keys and may be split where a key is hot.
+treated alike. All DataFrame functions. Sets of line hashes are written and counted before they are joined.
 """
 
 from __future__ import annotations
@@ -17,10 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import settle
+
 MIN_SITES = 10
 MOST_REMOVED = 0.5
 
 
+BROADCAST_ROWS = 200_000
+
+
+def _sized(hashes: DataFrame) -> DataFrame:
+    """Written, counted, and sent to all executors where that is a few MB; else joined by shuffle."""
+    held = settle(hashes)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -35,12 +46,12 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = 0.1)
     """``h``: hashes of the lines on at least ``min_sites`` distinct sites."""
     lines = _hashed(docs)
     spread = lines.groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", 12).alias("sketch")).where(F.col("n") >= min_sites)
-    told = spread.select("h", F.hll_sketch_estimate("sketch").alias("sites"))
+    told = settle(spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")))
     # Rounded estimates: a band of 1 at least, so that no estimate alone decides next to the threshold.
     margin = max(1.0, band * min_sites)
     sure = told.where(F.col("sites") > min_sites + margin).select("h")
     near = told.where(F.col("sites").between(min_sites - margin, min_sites + margin)).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("sites"))
+    exact = lines.join(_sized(near), "h", "left_semi").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("sites"))
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h"))
 
 
@@ -49,7 +60,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_removed: float
 
     ``n_chars``, where there is one, follows the new text.
     """
-    bad = boilerplate(docs, min_sites)
+    bad = _sized(boilerplate(docs, min_sites))
     text = F.col("text").cast("string")
     key = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_th"), F.posexplode(F.transform(_lines(text), lambda x: F.trim(x))).alias("_pos", "_line")).where("_line <> ''")
     hits = key.select("_id", "_th", "_pos", F.xxhash64("_line").alias("h"), F.char_length("_line").alias("_n")).join(bad, "h")
