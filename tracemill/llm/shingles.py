@@ -13,10 +13,8 @@ fewer words the whole sequence). Two texts link when 100 * intersection >= 75 *
    nothing false is joined.
 4. The count of step 2 again over all shingles, now for shingles that stand in two components: what is left
    can still have links across components.
-5. Of those, the classes that share enough with one size band of one other component, and for them all remaining links: sets are ordered by global frequency, rarest first; classes meet under
-   each shingle of their prefix (n // 4 + 1 shingles) and size band; of the shingles under which the same
-   classes would meet, one is taken; hot groups are cut into blocks that meet pairwise; each meeting is a
-   prefix-tree join.
+5. Pairs of components of which one has a class that shares enough with one size band of the other; the circles
+   that these pairs form meet by size band, large ones in blocks pairwise; each meeting is a prefix-tree join.
 6. Components of components, by label propagation over written tables.
 
 In the tree, sets with the same beginning share it, with the overlap counted so far; a subtree is left as
@@ -323,7 +321,7 @@ def _band(step: float = 4.0 / 3) -> Column:
 
 
 def _may_link(each: DataFrame, light: int = 64) -> DataFrame:
-    """The rows ``c, tag, n, token`` of classes that share enough with one band of one other component to link with it.
+    """``a, b``: pairs of components of which one has a class that shares enough with one size band of the other to link with it.
 
     J >= 3/4 means that 7 * intersection >= 3 * (n + the partner's size), and a band has a least size. Shingles
     of over ``light`` such bands count as shared with any, so a shingle gives few rows and nothing is lost.
@@ -335,18 +333,22 @@ def _may_link(each: DataFrame, light: int = 64) -> DataFrame:
     met = each.select("c", "tag", "token", _band(step).alias("own")).join(near, "token").where(f"tag <> other AND abs(own - theirs) <= {reach}")
     # What the shared shingles leave over, at best, after the partner's part of the bound.
     over = 7 * F.col("s") - 3 * F.pow(F.lit(step), F.col("theirs"))
-    shared = met.groupBy("c", "other", "theirs").agg(F.count("*").alias("s")).groupBy("c").agg(F.max(over).alias("over"))
-    hot = each.join(spread.where(F.col("g") > light).select("token"), "token").groupBy("c").agg(F.count("*").alias("hot"))
-    classes = each.select("c", "n").distinct().join(shared, "c", "left").join(hot, "c", "left")
-    hot_part = 7 * F.coalesce("hot", F.lit(0))
-    light_link = F.coalesce("over", F.lit(-1e18)) + hot_part >= 3 * F.col("n") - 1e-6
-    hot_link = hot_part >= 3 * F.col("n") * 1.75 - 1e-6  # a partner has 3/4 of the size at least
-    kept = classes.where(light_link | hot_link).select("c")
-    return each.join(kept, "c", "left_semi")
-
-
-def _late_links(left: DataFrame) -> DataFrame:
-    """``a, b``: links between tags among ``c, tag, n, tokens``."""
+    shared = met.groupBy("c", "other", "theirs").agg(F.count("*").alias("s")).groupBy("c", "other").agg(F.max(over).alias("over"))
+    hot_tokens = spread.where(F.col("g") > light).select("token")
+    hot = settle(each.join(hot_tokens, "token").select("c", "tag", "n", "token"))
+    counted = hot.groupBy("c").agg(F.count("*").alias("hot"))
+    part = 7 * F.coalesce("hot", F.lit(0))
+    own = each.select("c", "tag", "n").distinct()
+    light_links = shared.join(own, "c").join(counted, "c", "left").where(F.col("over") + part >= 3 * F.col("n") - 1e-6).select(F.col("tag").alias("a"), F.col("other").alias("b"))
+    # Without a light shingle between them, both have hot ones enough: a partner has 3/4 of the size at least.
+    rich = hot.join(counted, "c").where(part >= 3 * F.col("n") * 1.75 - 1e-6)
+    hubs = rich.groupBy("token").agg(F.min("tag").alias("b"))
+    hot_links = rich.join(hubs, "token").select(F.col("tag").alias("a"), "b")
+    return light_links.unionByName(hot_links).distinct()
+
+
+def _late_links(left: DataFrame) -> DataFrame | None:
+    """``a, b``: links between tags among ``c, tag, n, tokens``; None if there can be none."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for c, tag, n, t in zip(*(batch.column(k).to_pylist() for k in ("c", "tag", "n", "tokens")), strict=True):
@@ -354,31 +356,24 @@ def _late_links(left: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v), pa.int64()) for v in (c, tag, n)] + [pa.array(x)], ["c", "tag", "n", "token"])
 
     each = settle(map_rows(left.select("c", "tag", "n", "tokens"), rows, "c long, tag long, n long, token long"))
-    each = settle(_may_link(each))
-    counts = each.groupBy("token").agg(F.count("*").alias("f"), (F.min("tag") != F.max("tag")).alias("mixed"))
-    # Global order: how often a shingle stands here, in powers of two, then its hash.
-    seen = each.join(counts, "token").select("c", "tag", "n", "mixed", F.expr("least(15, floor(log2(f)))").cast("long").alias("level"), "token")
-    listed = settle(seen.groupBy("c", "tag", "n").agg(F.sort_array(F.collect_list(F.struct("level", F.expr("shiftrightunsigned(token, 4)").alias("h"), "mixed"))).alias("x")))
-    order = listed.select("c", "tag", "n", F.transform("x", lambda e: F.shiftleft(e["level"], 60).bitwiseOR(e["h"])).alias("keys"))
-    lead = listed.select("c", "tag", "n", F.explode(F.slice("x", F.lit(1), (F.floor(F.col("n") / 4) + 1).cast("int"))).alias("e")).where("e.mixed")
-    # A group holds two neighbouring bands.
+    pairs = settle(_may_link(each))
+    if pairs.isEmpty():
+        return None
+    circles = components(pairs)
+    inside = settle(left.join(circles, F.col("tag") == F.col("node")).select("c", "tag", "n", "root", "tokens"))
     band = _band()
-    post = lead.select("c", "tag", F.col("e.level").alias("level"), F.col("e.h").alias("h"), F.explode(F.array(band, band - 1)).alias("band"))
-    met = post.groupBy("level", "h", "band").agg(F.count("*").alias("m"), (F.min("tag") != F.max("tag")).alias("across"), F.bit_xor(F.xxhash64("c")).alias("who"), F.sum(F.pmod(F.xxhash64("c", F.lit(1)), F.lit(1 << 40))).alias("who2")).where("across")
-    one = met.groupBy("band", "m", "who", "who2").agg(F.min(F.struct("level", "h")).alias("e"))
-    size = settle(one.select("band", "e.level", "e.h", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
-    part = post.select("c", "level", "h", "band").join(size, ["level", "h", "band"]).withColumn("p", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+    post = inside.select("c", "root", F.explode(F.array(band, band - 1)).alias("band"))  # a group holds two neighbouring bands
+    size = post.groupBy("root", "band").agg(F.count("*").alias("m")).where("m > 1").select("root", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    part = post.join(size, ["root", "band"]).withColumn("p", F.pmod(F.xxhash64("c"), "parts").cast("int"))
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"))))
-    cells = part.select("c", "level", "h", "band", cell.alias("cell")).join(order, "c")
+    cells = part.select("c", "root", "band", cell.alias("cell")).join(inside.select("c", "tag", "tokens"), "c")
 
     def join(table: pa.Table) -> pa.Table:
         tags = table.column("tag").to_pylist()
-        lists = table.column("keys").combine_chunks()
-        values, at = lists.values.to_numpy(zero_copy_only=False).view(U), lists.offsets.to_numpy()
-        links = tree_join([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], tags) if len(set(tags)) > 1 else []
+        links = tree_join([np.frombuffer(t, U) for t in table.column("tokens").to_pylist()], tags) if len(set(tags)) > 1 else []
         return pa.table({"a": pa.array([tags[x] for x, _ in links], pa.int64()), "b": pa.array([tags[y] for _, y in links], pa.int64())})
 
-    return cells.groupBy("level", "h", "band", "cell.i", "cell.j").applyInArrow(join, "a long, b long").distinct()
+    return settle(cells.groupBy("root", "band", "cell.i", "cell.j").applyInArrow(join, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -417,7 +412,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     again = shared_counts(tagged.select("c", "tag", "tokens"), from_sets, False, int(held.agg(F.sum("n")).first()[0] or 0))
     left = settle(tagged.join(again, "c").where(F.col("shared") >= F.col("n") - F.floor(F.col("n") / 4)).select("c", "tag", "n", "tokens"))
-    late = settle(_late_links(left)) if not left.isEmpty() else None
+    late = _late_links(left) if not left.isEmpty() else None
     if late is not None and not late.isEmpty():
         roots = roots.join(components(late).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
     rooted = classes.select("c", "rep").join(roots, "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
