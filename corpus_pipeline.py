@@ -16,8 +16,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites go; n_chars follows the text."""
-    return lines.clean_lines(docs).select(*docs.columns)
+    """Lines on many sites go, but from documents that hold nothing else; n_chars follows the text."""
+    return lines.clean_lines(docs, most_removed=None).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

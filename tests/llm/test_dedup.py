@@ -8,6 +8,7 @@ import pytest
 from oracle import SMALL, assert_same
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracemill.llm import dedup, lines, subwords
 from tracemill.llm.queries import ORACLE, QUERIES
 
@@ -70,6 +71,15 @@ def test_line_dedup_edges(spark):
     assert lines.clean_lines(df.limit(0)).count() == 0
 
 
+def test_pipeline_takes_long_menus_out_of_short_pages(spark):
+    menu = "home | about | contact | imprint | terms | help"
+    rows = [(i, f"{menu}\nown {i}\n{menu}", f"s{i}", 0) for i in range(12)] + [(50 + i, f" {menu}\n\n{menu}", f"s{i}", 0) for i in range(3)] + [(90, None, "s1", 0), (91, "\n", "s1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, df, SMALL).collect()}
+    assert all(got[i] == (f"own {i}", len(f"own {i}")) for i in range(12))
+    assert all(got[50 + i][0] == f" {menu}\n\n{menu}" for i in range(3)) and got[90][0] is None and got[91][0] == "\n"
+
+
 TEXTS = ["", " ", "a", "hello world", "tab\tand\n\nlines\r\n", "lit ▁ mark ▁▁", "日本語 🎉 é", "x" * 1000, " " * 100, "w " * 200_000, "\x00\x7f", "\ufeffbom", None]
 
 

@@ -6,7 +6,8 @@ partial and final steps. Lines whose estimate is within ``band`` of the threshol
 count; the rest are decided by their estimate, which is exact for small counts and errs by 1.6 % beyond.
 
 A document that would lose over ``most_removed`` of its characters is a copy of other documents rather than
-a page with boilerplate; it stays as it is, for the operators that compare whole documents.
+a page with boilerplate; it stays as it is, for the operators that compare whole documents. With ``most_removed``
+None, as in the pipeline, only documents of which no line would be left stay as they are.
 
 Defined results: null text stays null (no lines), a null source counts as one site, repeated rows are
 treated alike. All DataFrame functions. Sets of line hashes are written and counted before they are joined.
@@ -55,7 +56,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = 0.1)
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h"))
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_removed: float = MOST_REMOVED) -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_removed: float | None = MOST_REMOVED) -> DataFrame:
     """All columns, the text without boilerplate lines, and ``n_lines`` and ``n_removed`` (long) under names not taken.
 
     ``n_chars``, where there is one, follows the new text.
@@ -68,7 +69,8 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most_removed: float
     lost = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("_pos", "_n")).alias("_lost")).select("_id", "_th", F.transform("_lost", lambda x: x["_pos"]).alias("_lost"), F.aggregate("_lost", F.lit(0).cast("long"), lambda a, x: a + x["_n"]).alias("_gone"))
     both = docs.withColumn("_now", F.xxhash64(text)).join(lost, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_now") == F.col("_th")), "left")
     whole = F.aggregate(_lines(text), F.lit(0).cast("long"), lambda a, x: a + F.char_length(F.trim(x)))
-    drop = F.col("_gone").isNotNull() & (F.col("_gone") <= F.lit(most_removed) * whole)
+    some_left = F.col("_gone") < whole if most_removed is None else F.col("_gone") <= F.lit(most_removed) * whole
+    drop = F.col("_gone").isNotNull() & some_left
     kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n")
     out = both.withColumn("_text", F.when(drop, kept).otherwise(text)).withColumn("n_lines", F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")).withColumn("n_removed", F.when(drop, F.size("_lost")).otherwise(0).cast("long"))
     columns = [F.col("_text").alias("text") if c == "text" else F.char_length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
