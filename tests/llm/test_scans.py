@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SMALL
 from pyspark.sql import functions as F
@@ -159,6 +160,26 @@ def test_decontamination_recall_and_precision(spark):
     assert benchmark.contaminated(corpus(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 3, 5, 6, 8, 10, 12, 15, 16, 19, 25, 40])
+def test_decontamination_recall_by_length(length):
+    rng = random.Random(length)
+    bag = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(bag, k=length))) for i in range(50)]
+    index, texts = benchmark._Index(items, benchmark.Plan()), []
+    for n in range(300):
+        copy, kind = items[n % 50][1].split(), rng.randrange(4)
+        places = rng.sample(range(length), int(0.2 * length))
+        if kind == 0 and places:
+            places = list(range(len(places)))
+        for at in sorted(places, reverse=True):
+            copy[at : at + 1] = [["zz"], [], [copy[at], "yy"], ["zz"]][kind if kind else 0]
+        texts.append(" ".join(rng.choices(bag, k=rng.randrange(60)) + copy + rng.choices(bag, k=rng.randrange(60))))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = {p for b in benchmark._matches(batch, index) for p in zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), strict=True)}
+    found = sum((n, n % 50) in got for n in range(300))
+    assert found == 300 if length < benchmark.SHORT else found >= 0.95 * 300
+
+
 def test_decontamination_query_finds_every_exact_passage(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()

@@ -6,7 +6,9 @@ is set, so that a few insertions or deletions move two walks apart only for a wh
 becomes Hamming distance. A key holds a few sampled steps; equal keys make a candidate.
 
 Every word of a document begins a window. Items are indexed from an anchor at every second word, so the
-windows of an item cover it whole, and each repetition uses another walk. Candidates are verified by exact
+windows of an item cover it whole, and each repetition uses another walk. Short items give walks few chances,
+so they are also cut into one part more than they may have edits: one part at least stands unedited in any
+match, and equal parts make a candidate. Short items are thus all found. Candidates are verified by exact
 edit distance in words between the whole item and any stretch of the document near by (free ends).
 
 Defined results: a null or empty text or item matches nothing; repeated rows give a row each; items with
@@ -27,6 +29,7 @@ from .words import ALNUM, U, map_rows, mix, pieces, words_of
 
 PAIR = "doc_id long, item_id long, distance int, first_word long, last_word long"
 WIDTHS = (8, 4, 2, 1)
+SHORT = 20  # items of fewer words are looked up by parts too
 _FOLD = U(0xD6E8FEB86659FD93)
 
 
@@ -72,6 +75,15 @@ def _walk(bits: np.ndarray, starts: np.ndarray, plan: Plan, repetition: int, wid
     return {w: mix(k) for w, k in key.items()}
 
 
+def _runs(x: np.ndarray, starts: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Keys of the runs of words that begin at ``starts``."""
+    factor = mix(np.arange(length, dtype=U), seed) | U(1)
+    key = np.zeros(len(starts), U)
+    for j in range(length):
+        key += np.take(x, starts + j, mode="clip") * factor[j]
+    return mix(key)
+
+
 class _Index:
     """Keys of all anchors of a block of items."""
 
@@ -91,27 +103,42 @@ class _Index:
                     keys.append(_keys(x, starts, plan, r, [w])[w])
                     item.append(np.full(len(starts), k))
                     anchor.append(starts)
-                key = np.concatenate(keys)
-                order = np.argsort(key, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[key >> U(44)] = True
-                self.tables[w, r] = (key[order], np.concatenate(item)[order], np.concatenate(anchor)[order], seen)
+                self.tables[w, r] = self._table(np.concatenate(keys), np.concatenate(item), np.concatenate(anchor))
+        parts: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+        for k, (_, x) in enumerate(self.items):
+            if len(x) < SHORT:
+                cut = np.linspace(0, len(x), min(int(plan.max_edits * len(x)) + 1, len(x)) + 1).astype(int)
+                for a, n in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
+                    parts.setdefault(n, []).append((_runs(x, np.array([a]), n, plan.seed), k, a))
+        self.parts = {n: self._table(np.concatenate([p[0] for p in own]), *map(np.array, zip(*[p[1:] for p in own], strict=True))) for n, own in parts.items()}
+
+    @staticmethod
+    def _table(key: np.ndarray, item: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        seen = np.zeros(1 << 20, bool)
+        seen[key >> U(44)] = True
+        return key[order], item[order], anchor[order], seen
+
+    @staticmethod
+    def _met(table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], key: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        keys, item, anchor, seen = table
+        some = np.flatnonzero(seen[key >> U(44)])
+        left, right = np.searchsorted(keys, key[some], "left"), np.searchsorted(keys, key[some], "right")
+        n = right - left
+        which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.stack([np.repeat(starts[some], n) - anchor[which], item[which]], 1)
 
     def candidates(self, x: np.ndarray, chunk: int = 1 << 13) -> np.ndarray:
         """Distinct rows (place where the item would begin, item). Chunks fit a processor's cache."""
-        found, reach = [], 2 * self.widths[-1] + 1
+        found, reach = [], max([2 * self.widths[-1] + 1, *self.parts])
         for lo in range(0, len(x), chunk):
             starts = np.arange(lo, min(len(x), lo + chunk))
             local = np.append(x[lo : lo + chunk + reach], U(0))
             for r in range(self.plan.repetitions):
                 for w, key in _keys(local, starts - lo, self.plan, r, self.widths).items():
-                    keys, item, anchor, seen = self.tables[w, r]
-                    some = np.flatnonzero(seen[key >> U(44)])
-                    left, right = np.searchsorted(keys, key[some], "left"), np.searchsorted(keys, key[some], "right")
-                    n = right - left
-                    if n.sum():
-                        which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        found.append(np.stack([np.repeat(starts[some], n) - anchor[which], item[which]], 1))
+                    found.append(self._met(self.tables[w, r], key, starts))
+            for n, table in self.parts.items():
+                found.append(self._met(table, _runs(local, starts - lo, n, self.plan.seed), starts))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
