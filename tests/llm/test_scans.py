@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,30 @@ def test_secret_query_on_documents_and_own_rules(spark):
     assert row.spans.startswith("pem:2:33") and row.n_hex == 0
 
 
+def test_long_tokens_are_whole_and_failing_attempts_cheap():
+    scanner, by = secrets.Scanner(), {r.kind: k for k, r in enumerate(secrets.RULES)}
+    for head, body, sign in ((9000, 9000, 43), (40, 40, 20_000), (30_000, 30_000, 30_000)):
+        token = b"eyJ" + b"hZ" * (head // 2) + b".eyJ" + b"Qx" * (body // 2) + b"." + b"s-" * (sign // 2 + 1)
+        assert (4, by["jwt"], 4 + len(token)) in scanner.spans(b"see " + token + b" end")
+    forged = b"ghp_" + b"Zz" * 10_000
+    assert scanner.spans(forged) == [(0, by["forge"], len(forged))]
+    # Each of these 200,000 attempts would read the rest of the text.
+    text = b"eyJ" * 100_000 + b" " + b"eyJx." + b"eyJ" * 100_000
+    began = time.process_time()
+    assert scanner.spans(text) == [] and time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_marks_change_no_span(seed):
+    rng = random.Random(seed)
+    pattern = re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    scanner, k = secrets.Scanner(), [r.kind for r in secrets.RULES].index("jwt")
+    for _ in range(200):
+        text = b"".join(rng.choices([b"eyJ", b"eyJa", b".", b".eyJ", b"b" * 30, b"c" * 70, b" ", b"-"], [6, 6, 2, 3, 4, 3, 1, 2], k=rng.randrange(1, 80)))
+        want = [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m[0]) - m[0].rindex(b".") - 1 >= 16]
+        assert [s for s in scanner.spans(text) if s[1] == k] == want
+
+
 def test_automaton_is_minimal():
     a = secrets.compile_patterns(("ab|cb",), False)
     assert len(a.rows) == 3 and secrets.Scanner._longest(a, b"cbx", 0) == 2

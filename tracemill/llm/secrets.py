@@ -4,7 +4,9 @@ Rules are regular expressions over bytes, compiled here: parse, Thompson automat
 minimisation by partition refinement, transition arrays. The scanning automaton reads "anything, then a
 rule" for all rules at once, so one pass tells which rules occur in a text at all. Only for those, the
 rule's own (anchored) automaton marks the leftmost longest spans that do not overlap within the rule; of
-these, spans that miss the rule's length are dropped after they were consumed.
+these, spans that miss the rule's length are dropped after they were consumed. An attempt follows its
+automaton to the end, however far; it leaves marks where nothing more was accepted, and later attempts that
+come to a mark in the same state stop there, so that failing attempts over one run stay cheap.
 
 Defined results: null counts as empty (no spans); repeated rows give a row each.
 """
@@ -28,9 +30,8 @@ class Rule:
     """``head`` then ``tail``, both greedy; a match counts if the tail has ``least`` bytes.
 
     ``trigger``: what any counting match contains, for the scanning automaton; long counts in several
-    triggers would multiply its states. ``reach``: the most bytes that the head, and the tail, of a rule
-    that is no base rule may have, so that failing attempts stay cheap on any text. Give the rules in the
-    order in which spans at the same start are listed.
+    triggers would multiply its states. Give the rules in the order in which spans at the same start are
+    listed.
     """
 
     kind: str
@@ -39,7 +40,6 @@ class Rule:
     least: int
     trigger: str
     base: bool = False
-    reach: int = 1 << 13
 
 
 # The base rules.
@@ -254,16 +254,23 @@ class Scanner:
         return found
 
     @staticmethod
-    def _longest(a: Automaton, data: bytes, at: int, reach: int | None = None) -> int:
-        """End of the longest match at a place, -1 for none."""
+    def _longest(a: Automaton, data: bytes, at: int, dead: set[tuple[int, int]] | None = None) -> int:
+        """End of the longest match at a place, -1 for none. ``dead``: places and states from which nothing more is accepted; grows."""
         rows, least, state = a.rows, a.accepting, a.start
         end = at if state >= least else -1
-        for i in range(at, len(data) if reach is None else min(len(data), at + reach)):
+        passed = []
+        for i in range(at, len(data)):
+            if dead is not None and not i & 63:  # runs that met stay together, so a mark at every 64th byte is enough
+                if (i, state) in dead:
+                    break
+                passed.append((i, state))
             state = rows[state][data[i]]
             if state < 0:
                 break
             if state >= least:
                 end = i + 1
+        if passed:
+            dead.update(x for x in passed if x[0] >= end)
         return end
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -275,14 +282,15 @@ class Scanner:
             head, tail = self.own[k]
             lead = (head or tail).rows[(head or tail).start]
             may = bytes(b for b in range(256) if lead[b] >= 0)
-            at, n, reach = 0, len(data), None if rule.base else rule.reach
+            at, n = 0, len(data)
+            heads, tails = (None, None) if rule.base else (set(), set())
             is_lead = [b in may for b in range(256)]
             while at < n:
                 if not is_lead[data[at]]:
                     at += 1
                     continue
-                middle = self._longest(head, data, at, reach) if head else at
-                end = self._longest(tail, data, middle, reach) if middle >= 0 else -1
+                middle = self._longest(head, data, at, heads) if head else at
+                end = self._longest(tail, data, middle, tails) if middle >= 0 else -1
                 if end <= at:
                     at += 1
                     continue
