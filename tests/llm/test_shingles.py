@@ -128,3 +128,17 @@ def test_one_document_of_each_group_stays(spark):
     rows = made(8, 80) + [(None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in shingles.keep_one(df).where("doc_id is not null").collect()) == sorted({c for d, _, c in brute_force(rows) if d == c and d is not None})
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, body), (5, body + " tail"), (5, " ".join(f"v{i}" for i in range(60))), (7, "x y z q r s t"), (7, "x y z q r s t"), (3, ""), (3, ""), (None, body)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in shingles.keep_one(df).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]], key=repr)
+    assert shingles.keep_one(df).columns == df.columns
+    rows = made(9, 60)
+    rows += [(d, t) for d, t in rows[:10]] + [(rows[k][0], rows[k + 1][1]) for k in range(20, 30)]
+    kept = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    told = brute_force([(k, t) for k, (_, t) in enumerate(sorted(rows, key=lambda r: r[0]))])
+    assert sorted(r.doc_id for r in kept) == [sorted(rows, key=lambda r: r[0])[k][0] for k, _, c in sorted(told) if k == c]

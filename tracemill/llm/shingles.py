@@ -429,6 +429,14 @@ def _repeated(own: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows whose id is the least of their component; rows without an id stay."""
-    told = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(told, docs["doc_id"].cast("long") == told["_id"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component, the one with the least id; rows without an id or shingles stay.
+
+    Where ids repeat, rows get numbers of their own in the order of the ids, so that an id stands for one text.
+    """
+    own = F.col("doc_id").cast("long")
+    rows, key = docs.where(own.isNotNull()), own
+    if _repeated(docs.select(own.alias("doc_id"))):
+        rows = settle(rows.orderBy(own, F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
+        key = F.col("_row")
+    told = near_duplicates(rows.select(key.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    return rows.join(told, key == F.col("_id"), "left_semi").select(*docs.columns).unionByName(docs.where(own.isNull()))
