@@ -184,6 +184,24 @@ def test_folder_scan_and_stream(spark, tmp_path):
     assert sorted(r.status for r in spark.table("seen").collect()) == ["format", "ok"]
 
 
+def test_stream_tells_oversize_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("a.json", b'{"id":1}'), ("b.json", b"x" * 50), ("c.json", b"no")):
+        (folder / name).write_bytes(data)
+
+    def go():
+        out = stream_traces(spark, str(folder), max_bytes=30, oversize=True).select("source", "size", "status", "error", "text")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(((r.source[-6:], r.size, r.status, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+
+    first = go()
+    assert [r[:3] for r in first] == [("a.json", 8, "ok"), ("b.json", 50, "size"), ("c.json", 2, "format")]
+    assert first[1][3] == "over the byte limit"
+    (folder / "d.json").write_bytes(b"y" * 31)
+    assert go() == [*first, ("d.json", 31, "size", "over the byte limit")]
+
+
 def run(*args):
     return subprocess.run([sys.executable, "-m", "tracemill", *args], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

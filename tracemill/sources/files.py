@@ -68,6 +68,11 @@ def _judged(text: DataFrame, encoding: str) -> DataFrame:
     return parsed.select("source", "size", status.alias("status"), error.alias("error"), strip_bom(F.col("text")).alias("text"), "doc")
 
 
+def refused(files: DataFrame, max_bytes: int) -> DataFrame:
+    """The oversize ones of ``source, size`` as rows of status ``size``."""
+    return files.where(F.col("size") > max_bytes).select("source", "size", F.lit("size").alias("status"), F.lit("over the byte limit").alias("error"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("variant").alias("doc"))
+
+
 def scan_traces(spark: SparkSession, path: str | Sequence[str], max_bytes: int = DEFAULT_MAX_BYTES, encoding: str = "utf-8", glob: str | None = None) -> DataFrame:
     """All plain files under folders, any store. The size filter reaches the scan: oversize content is not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -75,8 +80,7 @@ def scan_traces(spark: SparkSession, path: str | Sequence[str], max_bytes: int =
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path if isinstance(path, str) else list(path)).select(F.col("path").alias("source"), F.col("length").alias("size"), "content")
     within = classify(files.where(F.col("size") <= max_bytes), max_bytes, encoding)
-    beyond = files.where(F.col("size") > max_bytes).select("source", "size", F.lit("size").alias("status"), F.lit("over the byte limit").alias("error"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("variant").alias("doc"))
-    return within.unionByName(beyond)
+    return within.unionByName(refused(files, max_bytes))
 
 
 def load_traces(spark: SparkSession, paths: Sequence[str | os.PathLike[str]], max_bytes: int = DEFAULT_MAX_BYTES, encoding: str = "utf-8") -> DataFrame:
