@@ -111,6 +111,18 @@ def leaves(value, path="$", key=None):
     return [(path, key, json.dumps(value, separators=(",", ":")))]
 
 
+def test_session_of_many_thousand_events(spark):
+    kinds = ["finding", "policy_decision", "view", "policyDecision", "click"]
+    events = [{"id": i, "kind": kinds[i % 5], "authToken": f"synthetic-{i}"} for i in range(20_000)]
+    text = json.dumps({"sessionId": "sess-1", "events": events})
+    df = spark.createDataFrame([(text,)], "text string").withColumn("doc", strict_variant(F.col("text")))
+    n = df.select(*[c.alias(k) for k, c in counts(F.col("doc")).items()]).first().asDict()
+    assert n == {"event_count": 20_000, "finding_count": 4_000, "decision_count": 8_000}
+    for name, step in (("events", lambda i: True), ("findings", lambda i: i % 5 == 0), ("decisions", lambda i: i % 5 in (1, 3))):
+        rows = explode_collection(df, name, []).select("pos", F.expr("variant_get(value, '$.id', 'long')").alias("id")).collect()
+        assert sorted(map(tuple, rows)) == list(enumerate(i for i in range(20_000) if step(i)))
+
+
 def test_leaf_rows_equal_text_redaction(spark):
     rng = random.Random(3)
     docs = [{f"k{i}": trees(rng, 4)} for i in range(60)]
