@@ -13,7 +13,7 @@ import tracemill
 from tracemill import Trace, TraceError, TraceFormatError, TraceSizeError, TraceSourceError, redact
 from tracemill.document import parse_problem, printable, redact_text
 from tracemill.functions import sanitise, strict_variant, summary_text
-from tracemill.operators import collection, counts, explode_collection, field, redact_column, redact_leaves, redact_typed, session_id, trace_version, with_collections
+from tracemill.operators import collection, counts, explode_collection, explode_redacted, field, redact_column, redact_leaves, redact_typed, redacted_collection, session_id, trace_version, with_collections
 from tracemill.plans.workload import CORPUS
 from tracemill.sources import load_traces, scan_traces
 from tracemill.streaming import stream_traces
@@ -26,7 +26,7 @@ LISTED = {
 }
 LOGGED = {"session": {"id": "sess-B"}, "events": [{"kind": "finding", "token": "synthetic-5"}, "bare", {"type": "policy_decision"}, {"eventType": "policyDecision"}, {"event_type": "Find-ing"}, {"kind": 5, "type": "x"}, {"kind": "finding", "type": "decision"}]}
 FIELDS = [
-    '{}', '{"id":7}', '{"id":0}', '{"id":-0}', '{"id":1.0}', '{"id":true}', '{"id":null}', '{"id":""}', '{"id":" "}', '{"sessionId":"","session_id":5}', '{"id":1e22}',
+    '{}', '{"vault":{"b":1.0,"a":' + "9" * 45 + '},"findings":[{"z":1,"a":2.50},1e22,1.0]}', '{"id":7}', '{"id":0}', '{"id":-0}', '{"id":1.0}', '{"id":true}', '{"id":null}', '{"id":""}', '{"id":" "}', '{"sessionId":"","session_id":5}', '{"id":1e22}',
     '{"session":{"id":"a"}}', '{"session":{"id":7}}', '{"id":"t","session":{"sessionId":"n"}}', f'{{"id":{"9" * 45}}}', '{"id":[1]}', '{"version":3,"schema_version":""}', '{"trace_version":"q"}',
     '{"findings":[],"events":[{"kind":"finding"}]}', '{"findings":"x","events":[{"kind":"finding"}]}', '{"findings":{},"events":[{"kind":"finding"}]}', '{"findings":null,"events":[{"kind":"finding"}]}',
     '{"decisions":{},"policyDecisions":[1]}', '{"policy_decisions":[null]}', '{"events":[{"kind":"finding","type":"decision"}]}', '{"events":[{"kind":"indecision"},{"kind":"Find-ing"},{"kind":5,"type":"policyDecision"}]}', '{"events":{"kind":"finding"}}',
@@ -82,11 +82,13 @@ def test_bulk_equals_single(spark):
     df = spark.createDataFrame(list(enumerate(FIELDS)), "i int, text string").withColumn("doc", strict_variant(F.col("text")))
     doc, text = F.col("doc"), F.col("text")
     n = counts(doc)
-    rows = df.select("i", session_id(doc, text).alias("session"), trace_version(doc, text).alias("version"), *[c.alias(k) for k, c in n.items()], summary_text(session_id(doc, text), n["finding_count"], n["decision_count"]).alias("summary"), redact_column(text).alias("masked"), field(doc, "vault", '"none"').alias("vault"), sanitise(text).alias("shown")).collect()
+    rows = df.select("i", session_id(doc, text).alias("session"), trace_version(doc, text).alias("version"), *[c.alias(k) for k, c in n.items()], summary_text(session_id(doc, text), n["finding_count"], n["decision_count"]).alias("summary"), redact_column(text).alias("masked"), field(text, "vault", '"none"').alias("vault"), redacted_collection(text, "findings").alias("findings"), sanitise(text).alias("shown")).collect()
     for r in rows:
         t = Trace.from_json(FIELDS[r.i])
         assert (r.session, r.version, r.event_count, r.finding_count, r.decision_count, r.summary) == (t.session_id, t.trace_version, t.event_count, t.finding_count, t.decision_count, t.summary()), FIELDS[r.i]
-        assert json.loads(r.masked) == t.redacted() and json.loads(r.vault) == t.get("vault", "none") and r.shown == printable(FIELDS[r.i])
+        compact = {"ensure_ascii": False, "separators": (",", ":")}
+        assert r.masked == json.dumps(t.redacted(), **compact) and r.vault == json.dumps(t.get("vault", "none"), **compact)
+        assert r.findings == [json.dumps(x, **compact) for x in t.findings] and r.shown == printable(FIELDS[r.i])
     one = with_collections(df.where(f"i = {FIELDS.index(json.dumps(LOGGED))}")).first()
     assert (one.event_count, one.finding_count) == (7, 3)
     got = [(r.pos, r.v) for r in explode_collection(df.where(f"i = {FIELDS.index(json.dumps(LOGGED))}"), "events", ["i"]).select("pos", F.to_json("value").alias("v")).collect()]
@@ -156,10 +158,12 @@ def files(folder):
 
 def test_admission(spark, tmp_path):
     paths = files(tmp_path)
-    rows = {os.path.basename(r.source): r for r in load_traces(spark, paths, max_bytes=30).collect()}
+    told = load_traces(spark, paths, max_bytes=30).collect()
+    assert sorted(r.source for r in told) == sorted(paths)
+    rows = {os.path.basename(r.source): r for r in told}
     want = {"ok.json": "ok", "bom.json": "ok", "bad.json": "format", "list.json": "format", "twice.json": "format", "_hidden.json": "ok", ".dot.json": "format", "big.json": "size", "dir.json": "source", "pipe.json": "source", "missing.json": "source"}
     assert {k: r.status for k, r in rows.items()} == want
-    assert "duplicate" in rows["twice.json"].error and "decode" in rows["bad.json"].error and rows["bom.json"].text == '{"id":2}'
+    assert "twice" in rows["twice.json"].error and "utf-8" in rows["bad.json"].error and rows["bom.json"].text == '{"id":2}'
     for p in paths:
         try:
             Trace.load(p, max_bytes=30)
@@ -193,7 +197,26 @@ def test_folder_scan_and_stream(spark, tmp_path):
     assert sorted(r.status for r in scan_traces(spark, str(folder), max_bytes=30).collect()) == ["format", "ok", "size"]
     q = stream_traces(spark, str(folder), max_bytes=30).select("status").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(r.status for r in spark.table("seen").collect()) == ["format", "ok"]
+    assert sorted(r.status for r in spark.table("seen").collect()) == ["format", "ok", "size"]
+
+
+def test_hidden_files_of_a_folder_are_rows(spark, tmp_path):
+    for name in ("a.json", "_b.json", ".c.json", "_d/e.json", "f/.g.txt", "f/h.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b'{"id":1}')
+    want = {"a.json": "ok", "_b.json": "source", ".c.json": "source", "_d/e.json": "source", "f/.g.txt": "source", "f/h.json": "ok"}
+    assert {r.source.split(f"{tmp_path}/")[1]: r.status for r in scan_traces(spark, str(tmp_path)).collect()} == want
+    assert {r.source.split(f"{tmp_path}/")[1]: r.status for r in scan_traces(spark, str(tmp_path), glob="*.json").collect()} == {k: v for k, v in want.items() if k.endswith("json")}
+
+
+def test_values_keep_order_and_digits(spark):
+    text = '{"x":{"b":1.0,"a":' + "1" * 45 + ',"c":1e999,"token":0},"events":[{"z":1,"a":2.50,"secret":[]},-0.0]}'
+    df = spark.createDataFrame([(text,), ("[1]",), ("{",), (None,)], "text string")
+    want = '{"b":1.0,"a":' + "1" * 45 + ',"c":1e999,"token":"[redacted]"}'
+    assert [r[0] for r in df.select(field(F.col("text"), "x")).collect()] == [want, None, None, None]
+    assert [(r.pos, r.value) for r in explode_redacted(df, "events", []).collect()] == [(0, '{"z":1,"a":2.5,"secret":"[redacted]"}'), (1, "-0.0")]
+    with pytest.raises(ValueError):
+        field(F.col("text"), "x", max_depth=-1)
 
 
 def test_stream_tells_oversize_files(spark, tmp_path):
@@ -203,15 +226,15 @@ def test_stream_tells_oversize_files(spark, tmp_path):
         (folder / name).write_bytes(data)
 
     def go():
-        out = stream_traces(spark, str(folder), max_bytes=30, oversize=True).select("source", "size", "status", "error", "text")
+        out = stream_traces(spark, str(folder), max_bytes=30).select("source", "size", "status", "error", "text")
         out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
         return sorted(((r.source[-6:], r.size, r.status, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
 
     first = go()
     assert [r[:3] for r in first] == [("a.json", 8, "ok"), ("b.json", 50, "size"), ("c.json", 2, "format")]
-    assert first[1][3] == "over the byte limit"
+    assert first[1][3] == "more bytes than allowed"
     (folder / "d.json").write_bytes(b"y" * 31)
-    assert go() == [*first, ("d.json", 31, "size", "over the byte limit")]
+    assert go() == [*first, ("d.json", 31, "size", "more bytes than allowed")]
 
 
 def run(*args):

@@ -2,11 +2,15 @@
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..document import element_texts
 from ..functions.keys import normalise
-from ..limits import COLLECTIONS, KIND_KEYS
+from ..limits import COLLECTIONS, KIND_KEYS, MAX_REDACTION_DEPTH
+from .redaction import checked_depth
 
 
 def _list(doc: Column, keys: tuple[str, ...]) -> Column:
@@ -49,3 +53,19 @@ def with_collections(traces: DataFrame, doc: str = "doc") -> DataFrame:
 def explode_collection(traces: DataFrame, name: str, keep: list[str], doc: str = "doc") -> DataFrame:
     """A row for each element: the kept columns, ``pos`` from 0 and the raw ``value``."""
     return traces.select(*keep, F.posexplode(collection(F.col(doc), name)).alias("pos", "value"))
+
+
+def redacted_collection(text: Column, name: str, max_depth: int = MAX_REDACTION_DEPTH) -> Column:
+    """A collection's elements as redacted JSON texts, from the document's text: key order and digits are kept. Null for text that is no strict JSON object."""
+    checked_depth(max_depth)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else element_texts(t, name, max_depth) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return cut(text)
+
+
+def explode_redacted(traces: DataFrame, name: str, keep: list[str], text: str = "text", max_depth: int = MAX_REDACTION_DEPTH) -> DataFrame:
+    """A row for each element: the kept columns, ``pos`` from 0 and ``value``, its redacted JSON text."""
+    return traces.select(*keep, F.posexplode(redacted_collection(F.col(text), name, max_depth)).alias("pos", "value"))

@@ -1,11 +1,13 @@
 """Scalar fields of a trace, through alias lists. Use them on rows that the strict parse admitted."""
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.keys import is_sensitive
-from ..limits import MAX_REDACTION_DEPTH, REDACTED, SESSION_KEYS, VERSION_KEYS
-from .redaction import redact_column
+from ..document import field_text
+from ..limits import MAX_REDACTION_DEPTH, SESSION_KEYS, VERSION_KEYS
+from .redaction import checked_depth
 
 
 def _scalar(doc: Column, text: Column, path: str, integers: bool = True) -> Column:
@@ -30,15 +32,15 @@ def trace_version(doc: Column, text: Column) -> Column:
     return F.coalesce(*[_scalar(doc, text, f"$.{k}") for k in VERSION_KEYS])
 
 
-def field(doc: Column, key: str, default: str | None = None, max_depth: int = MAX_REDACTION_DEPTH) -> Column:
-    """A top-level field as redacted JSON text; ``default`` (JSON text) when absent.
+def field(text: Column, key: str, default: str | None = None, max_depth: int = MAX_REDACTION_DEPTH) -> Column:
+    """A top-level field as redacted JSON text, keys in the document's order and integers with every digit; ``default`` (JSON text) when absent.
 
-    A present null gives ``null``. Absence is tested before sensitivity.
+    A present null gives ``null``. Absence is tested before sensitivity. Null text, and text that is no strict JSON object, give null.
     """
-    quoted = key.replace("\\", "\\\\").replace('"', '\\"')
-    value = F.try_variant_get(doc, f'$["{quoted}"]', "variant")
-    return (
-        F.when(value.isNull(), F.lit(default))
-        .when(is_sensitive(F.lit(key)), F.lit(f'"{REDACTED}"'))
-        .otherwise(redact_column(F.to_json(value), max_depth))
-    )
+    checked_depth(max_depth)
+
+    @F.arrow_udf(T.StringType())
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else field_text(t, key, default, max_depth) for t in texts.to_pylist()], pa.string())
+
+    return cut(text)

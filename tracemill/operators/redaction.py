@@ -18,9 +18,9 @@ from ..functions.keys import is_sensitive
 from ..limits import DEPTH_LIMITED, MAX_REDACTION_DEPTH, REDACTED
 
 
-def _checked(max_depth: int) -> int:
+def checked_depth(max_depth: int) -> int:
     if max_depth < 0:
-        raise ValueError("max_depth must not be negative")
+        raise ValueError("max_depth has to be 0 or more")
     return max_depth
 
 
@@ -34,7 +34,7 @@ def _text_udf(max_depth: int) -> Callable[..., Column]:
 
 def redact_column(text: Column, max_depth: int = MAX_REDACTION_DEPTH) -> Column:
     """JSON text to redacted JSON text; null, and text that is not strict JSON, give null."""
-    return _text_udf(_checked(max_depth))(text)
+    return _text_udf(checked_depth(max_depth))(text)
 
 
 def redact_json(df: DataFrame, column: str, out: str = "redacted", max_depth: int = MAX_REDACTION_DEPTH) -> DataFrame:
@@ -63,7 +63,7 @@ def _typed(value: Column, kind: T.DataType, depth: int) -> Column:
 
 def redact_typed(df: DataFrame, max_depth: int = MAX_REDACTION_DEPTH) -> DataFrame:
     """Redacts a table by its column names; map values become strings, since a mask is one."""
-    if _checked(max_depth) == 0:
+    if checked_depth(max_depth) == 0:
         raise ValueError("a table of rows needs a depth of 1 at least")
     return df.select(
         *[(F.lit(REDACTED) if sensitive_key(f.name) else _typed(df[f"`{f.name}`"], f.dataType, max_depth - 1)).alias(f.name) for f in df.schema]
@@ -76,7 +76,7 @@ def redact_leaves(df: DataFrame, keep: list[str], doc: str = "doc", max_depth: i
     Each level is one narrow explode of the open nodes, no shuffle; finished leaves pass through. ``levels``
     bounds how deep the plan goes when the documents' depth is known; a deeper document raises an error.
     """
-    steps = min(_checked(max_depth), levels if levels is not None else max_depth)
+    steps = min(checked_depth(max_depth), levels if levels is not None else max_depth)
     none = F.lit(None).cast("string")
     at = df.select(*keep, F.lit("$").alias("path"), F.lit(0).alias("level"), none.alias("key"), none.alias("value"), F.col(doc).alias("v"))
     for level in range(steps + 1):

@@ -3,14 +3,16 @@
 A session is one user's events within 512 consecutive ids, so no document grows with the data.
 """
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import is_sensitive, normalise, sanitise, strict_variant, summary_text
-from ..operators import collection, counts, explode_collection, field, redact_column, redact_leaves, redact_typed, session_id, trace_version
-from ..sources.files import classify, traces_from_text
+from ..operators import collection, counts, explode_redacted, field, redact_column, redact_leaves, redact_typed, redacted_collection, session_id, trace_version
+from ..sources.files import classify, scan_traces, traces_from_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,9 +47,14 @@ def _parsed(df: DataFrame) -> DataFrame:
     return df.withColumn("doc", strict_variant(F.col("text")))
 
 
+def _event_texts(spark: SparkSession, sf: str, text: Column) -> DataFrame:
+    """One synthesised document for each event: ``event_id, text``; no shuffle."""
+    return _events(spark, sf).withColumn("K", F.expr(KIND_SQL)).select("event_id", text.alias("text"))
+
+
 def _event_docs(spark: SparkSession, sf: str, text: Column) -> DataFrame:
-    """One synthesised document for each event: ``event_id, text, doc``; no shuffle."""
-    return _parsed(_events(spark, sf).withColumn("K", F.expr(KIND_SQL)).select("event_id", text.alias("text")))
+    """The same with ``doc``."""
+    return _parsed(_event_texts(spark, sf, text))
 
 
 _SESSION_SQL = f"'sess-' || user_id || '-' || (event_id // {BLOCK})"
@@ -80,9 +87,9 @@ def session_repr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows = explode_collection(_parsed(session_traces(spark, sf)), name, ["source"])
-    masked = redact_column(F.to_json("value"))
-    return rows.select(F.col("source").alias("session_id"), F.col("pos").cast("long").alias("pos"), F.get_json_object(masked, "$.id").cast("long").alias("event_id"), F.get_json_object(masked, "$.kind").alias("kind"), F.get_json_object(masked, "$.authToken").alias("auth"))
+    rows = explode_redacted(session_traces(spark, sf), name, ["source"])
+    told = F.from_json("value", "id long, kind string, authToken string")
+    return rows.select(F.col("source").alias("session_id"), F.col("pos").cast("long").alias("pos"), told.alias("v")).select("session_id", "pos", F.col("v.id").alias("event_id"), F.col("v.kind").alias("kind"), F.col("v.authToken").alias("auth"))
 
 
 def _rows_sql(which: str) -> str:
@@ -240,16 +247,35 @@ def redact_typed_rows(spark: SparkSession, sf: str) -> DataFrame:
 _FIELDS = """concat('{"x":', if(event_id % 2 = 0, 'null', '{"n":[1],"cookie":2}'), ',"api_key":"s"}')"""
 
 
-@_query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '{"cookie":"[redacted]","n":[1]}' END AS x, '"[redacted]"' AS api_key FROM events""")
+@_query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '{"n":[1],"cookie":"[redacted]"}' END AS x, '"[redacted]"' AS api_key FROM events""")
 def get_field(spark: SparkSession, sf: str) -> DataFrame:
-    doc = F.col("doc")
-    return _event_docs(spark, sf, F.expr(_FIELDS)).select("event_id", field(doc, "x", '"d"').alias("x"), field(doc, "api_key").alias("api_key"))
+    text = F.col("text")
+    return _event_texts(spark, sf, F.expr(_FIELDS)).select("event_id", field(text, "x", '"d"').alias("x"), field(text, "api_key").alias("api_key"))
 
 
 @_query("""SELECT event_id, '"d"' AS y, NULL::VARCHAR AS token FROM events""")
 def get_absent_default(spark: SparkSession, sf: str) -> DataFrame:
-    doc = F.col("doc")
-    return _event_docs(spark, sf, F.expr(_FIELDS)).select("event_id", field(doc, "y", '"d"').alias("y"), field(doc, "token").alias("token"))
+    text = F.col("text")
+    return _event_texts(spark, sf, F.expr(_FIELDS)).select("event_id", field(text, "y", '"d"').alias("y"), field(text, "token").alias("token"))
+
+
+_DIGITS = "123456789012345678901234567890123456789012345"
+
+
+@_query(f"""SELECT event_id, '{{"z":1.0,"b":{_DIGITS}' || event_id || ',"a":[1e999,-0.5,' || event_id || '.25]}}' AS x, '["' || event_id || '",2.5]' AS findings FROM events""")
+def get_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Values as a single document gives them: key order, every digit of integers, ``1.0`` apart from ``1``, literals beyond a float."""
+    text = F.expr(f"""concat('{{"x":{{"z":1.0,"b":{_DIGITS}', event_id, ',"a":[1e999,-0.5,', event_id, '.250]}},"findings":["', event_id, '",2.50]}}')""")
+    d = _event_texts(spark, sf, text)
+    return d.select("event_id", field(F.col("text"), "x").alias("x"), F.concat(F.lit("["), F.array_join(redacted_collection(F.col("text"), "findings"), ","), F.lit("]")).alias("findings"))
+
+
+@_query("""SELECT event_id, '{"id":' || event_id || ',"password":"p' || event_id || '","later":[1.50]}' AS raw, '{"id":' || event_id || ',"password":"[redacted]","later":[1.5]}' AS masked FROM events""")
+def raw_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The document as it came beside its redacted form."""
+    rows = _event_texts(spark, sf, F.expr("""concat('{"id":', event_id, ',"password":"p', event_id, '","later":[1.50]}')"""))
+    traces = traces_from_text(rows.select("event_id", "text"), source="event_id").where("status = 'ok'")
+    return traces.select(F.col("source").cast("long").alias("event_id"), F.col("text").alias("raw"), redact_column(F.col("text")).alias("masked"))
 
 
 # (case, text, whether it is a strict JSON object)
@@ -276,3 +302,24 @@ def size_admission(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     raw = docs.select(F.col("doc_id").cast("string").alias("source"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content"))
     return classify(raw, max_bytes=2000).select("source", "size", "status")
+
+
+_NATION_FILE = """'{"id":' || n_nationkey || ',"name":"' || n_name || CASE n_nationkey % 5 WHEN 0 THEN '","cut":[' WHEN 1 THEN '","pad":"' || repeat('x', 200) || '"}' WHEN 2 THEN '"} {}' ELSE '"}' END"""
+
+
+@_query(f"""SELECT n_nationkey::BIGINT AS nation, strlen({_NATION_FILE}) + 1 AS size, CASE n_nationkey % 5 WHEN 0 THEN 'format' WHEN 1 THEN 'size' WHEN 2 THEN 'format' ELSE 'ok' END AS status,
+  CASE WHEN n_nationkey % 5 > 2 THEN n_nationkey::VARCHAR END AS session_id FROM nation""")
+def file_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """A file for each nation, written below the shared folder and scanned as a folder of traces: admitted, oversize or refused."""
+    folder = f"{_shared(spark)}/file_admission-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("nation"), F.expr(_NATION_FILE).alias("value")).repartition("nation").write.partitionBy("nation").text(folder)
+    found = scan_traces(spark, folder, max_bytes=200).where("status <> 'source'")  # the writer's own mark
+    nation = F.regexp_extract("source", r"nation=(\d+)/", 1).cast("long")
+    return found.select(nation.alias("nation"), "size", "status", session_id(F.col("doc"), F.col("text")).alias("session_id"))
+
+
+def _shared(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (top or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")).rstrip("/")

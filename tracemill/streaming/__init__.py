@@ -9,11 +9,7 @@ from ..sources.files import classify, refused
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_traces(spark: SparkSession, folder: str, max_bytes: int = DEFAULT_MAX_BYTES, encoding: str = "utf-8", oversize: bool = False) -> DataFrame:
-    """Each new file of a folder once. The content of oversize files is never read; they are rows of status ``size`` with ``oversize``, else left out.
-
-    ``oversize`` reads the folder as a second stream, so a query's checkpoint holds for the setting it began with.
-    """
+def stream_traces(spark: SparkSession, folder: str, max_bytes: int = DEFAULT_MAX_BYTES, encoding: str = "utf-8") -> DataFrame:
+    """Each new file of a folder once. Oversize files are rows of status ``size``; a second stream over the folder lists them, so their content is never read."""
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder).select(F.col("path").alias("source"), F.col("length").alias("size"), "content")
-    within = classify(files.where(F.col("size") <= max_bytes), max_bytes, encoding)
-    return within.unionByName(refused(files, max_bytes)) if oversize else within
+    return classify(files.where(F.col("size") <= max_bytes), max_bytes, encoding).unionByName(refused(files, max_bytes))
