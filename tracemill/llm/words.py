@@ -1,9 +1,10 @@
 """Vectorised tokenising and hashing of Arrow text columns; shared by the operators.
 
 A batch's texts lie one after another in one UTF-8 buffer. Words are maximal runs of kept bytes, so the
-separators must be ASCII. Each word gets a 64-bit hash from a polynomial over its bytes (mod 2^64, with an
-odd base, so that a position's power can be divided out), finished by a bit mixer; two different words
-share a hash with a chance of about 2^-60, and the operators take equal hashes for equal words.
+separators must be ASCII. Each word gets a 64-bit hash: the sum, mod 2^64, of a fixed random number for each
+byte times one for its place in the word, finished by a bit mixer. Two different words that were not made
+against these numbers share a hash with a chance of about 2^-60, and the operators take equal hashes for
+equal words.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 U = np.uint64
 
 
@@ -33,17 +33,16 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown as needed."""
+class _Places:
+    """A random odd number for each place in a word, grown as needed."""
 
-    up = down = np.ones(1, U)
+    factor = np.ones(0, U)
 
     @classmethod
-    def to(cls, n: int) -> None:
-        while len(cls.up) < n:
-            k = len(cls.up)
-            cls.up = np.concatenate([cls.up, cls.up * U(pow(_BASE, k, 1 << 64))])
-            cls.down = np.concatenate([cls.down, cls.down * U(pow(_INVERSE, k, 1 << 64))])
+    def to(cls, n: int) -> np.ndarray:
+        if len(cls.factor) < n:
+            cls.factor = mix(np.arange(max(64, 1 << (n - 1).bit_length()), dtype=U), 55) | U(1)
+        return cls.factor
 
 
 class Alphabet:
@@ -90,10 +89,11 @@ class Alphabet:
         at = np.flatnonzero(begin)
         if not len(at):
             return np.zeros(0, U), at
-        _Powers.to(len(data))
+        reach = np.diff(at, append=len(data))  # to the next word
+        place = np.arange(len(data)) - np.repeat(np.append(0, at), np.append(at[0], reach))
         value = self.value[data]
-        value *= _Powers.up[: len(data)]
-        return mix(np.add.reduceat(value, at) * _Powers.down[at]), at
+        value *= _Places.to(int(max(at[0], reach.max())))[place]
+        return mix(np.add.reduceat(value, at)), at
 
     def hash(self, word: str) -> int:
         h, _ = self.words(np.frombuffer(word.encode(), np.uint8), np.zeros(1, np.int64))
@@ -150,19 +150,66 @@ def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordB
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a local one only where none is set, as in tests."""
+    """A new folder below the cluster's shared one; a local one only on a local master where none is set, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder; a lost executor loses nothing of it."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, *superseded: DataFrame) -> DataFrame:
+    """Cuts lineage with a Parquet table in the shared folder; a lost executor loses nothing of it.
+
+    The shuffle files of the write go with it, as do the ``superseded`` tables of earlier calls, which no plan may read any more.
+    """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    discard(*superseded)
+    return out
+
+
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row: written, counted, and sent to all executors where that is a few MB; else joined by shuffle."""
+    held = df if getattr(df, "_settled", None) else settle(df)
+    out = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    out._settled = held._settled
+    return out
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with ``_`` at its end while the table has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Deletes tables that ``settle`` wrote."""
+    for df in settled:
+        if path := getattr(df, "_settled", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._settled = None
 
 
 def row_key(column: pa.Array) -> np.ndarray:
