@@ -74,7 +74,8 @@ def run(spark, rows):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(shingles, "BLOCK", 12)
+    for name, value in {"BLOCK": 12, "LIGHT": 3 if seed == 1 else 64, "CELL": 7}.items():
+        monkeypatch.setattr(shingles, name, value)
     rows = made(seed, 500)
     assert run(spark, rows) == brute_force(rows)
 
@@ -119,6 +120,41 @@ def test_tree_join_equals_all_pairs():
         assert all(find(i) == find(j) for i, j in alike)
 
 
+def test_hot_shingles_without_links(spark, monkeypatch):
+    """A passage that stands in most rows and makes up most of them, so that its shingles are hot and most pairs fall just short."""
+    for name, value in {"BLOCK": 8, "LIGHT": 5, "CELL": 16}.items():
+        monkeypatch.setattr(shingles, name, value)
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(d, f"{' '.join(f'x{rng.randrange(900)}' for _ in range(rng.randrange(8, 16)))} {passage} {' '.join(f'y{rng.randrange(900)}' for _ in range(rng.randrange(3)))}") for d in range(150)]
+    rows += [(1000 + d, t + " " + rng.choice(["z", "z z"])) for d, t in rows[:40]]
+    got = run(spark, rows)
+    assert got == brute_force(rows) and 30 < len({r[2] for r in got}) < 190
+
+
+def test_nested_sets_beyond_the_recursion_limit():
+    sets = [np.arange(1, n + 1, dtype=U) for n in range(1, 1500)]
+    assert len(shingles.tree_join(sets[-40:] + sets[:20], list(range(60)))) > 50
+    shingles._tree(sets, list(range(len(sets))))
+
+
+def test_long_words_of_two_letters_do_not_collide(spark):
+    """Words that share every hash whose weights are powers of an odd number."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(8192))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(k, " ".join([w] * 6)) for k, w in enumerate((one, two, one[:1024], two[:1024]))]
+    assert run(spark, rows) == brute_force(rows) == [(k, 1, k) for k in range(4)]
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 300).astype(U)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 290))) for _ in range(2))
+        x, y = (np.frombuffer(shingles.signature(s), U) for s in (a, b))
+        assert shingles._differ(x, y) <= len(np.setxor1d(a, b))
+
+
 def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in QUERIES["op3_ngram_jaccard_join"](spark, SMALL).collect()), key=repr) == brute_force(rows)

@@ -6,15 +6,17 @@ fewer words the whole sequence). Two texts link when 100 * intersection >= 75 *
 1. Equal sets form a class; from here on a class stands for all its rows.
 2. A class keeps going only if enough of its shingles stand in another class too: with a partner it shares
    all but n // 4. Half of the hash space is counted, which is exact as long as more than n // 4 of a set
-   lies in it (smaller sets keep going). The shingles travel in packed blocks, not in rows.
+   lies in it (smaller sets keep going). The shingles travel in packed blocks, not in rows, and those that a
+   task itself finds twice are counted there and sent once.
 3. Contraction: classes with the same least hash, under any of three hash functions, meet in blocks of
    bounded size and are joined there in a prefix tree; every block hands on one class of each component it
-   finds. A hot key is salted into many blocks first, with ever fewer salts. All links are verified, so
-   nothing false is joined.
+   finds, as long as that makes them fewer. All links are verified, so nothing false is joined.
 4. The count of step 2 again over all shingles, now for shingles that stand in two components: what is left
    can still have links across components.
-5. Pairs of components of which one has a class that shares enough with one size band of the other; the circles
-   that these pairs form meet by size band, large ones in blocks pairwise; each meeting is a prefix-tree join.
+5. Prefix filter, exact: of each class so many shingles, those under the fewest components first, that a link
+   must share one. Classes that share one make a pair if their signatures (parities, of which no more can
+   differ than elements) allow a link; under hot shingles the signatures meet in cells. The circles that these
+   pairs form meet by size band, large ones in blocks pairwise; each meeting is a prefix-tree join of the sets.
 6. Components of components, by label propagation over written tables.
 
 In the tree, sets with the same beginning share it, with the overlap counted so far; a subtree is left as
@@ -35,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, U, map_rows, mix, pieces, settle, words_of
+from .words import SPACED, U, discard, map_rows, mix, pieces, settle, sized, words_of
 
 WORDS = 5
 BLOCK = 192  # classes in a block of a prefix-tree join, about
+CELL = 4096  # classes whose signatures meet in a task, about
+LIGHT = 64  # classes under a prefix shingle that meet pair by pair; above, by cells
+PACK = 1_500_000  # shingles that a task holds before it sends them, about
 BUCKET = 2_000_000  # packed shingles in a bucket, about
 
 
@@ -99,52 +104,103 @@ def members(docs: DataFrame) -> DataFrame:
 # -- Steps 2 and 4: how many shingles of a class stand under another tag too
 
 
+_ANY = np.uint16(0xFFFF)  # owner of a shingle that a pack itself found under two tags
+_WORD = U(16)
+
+
 def _packed(tokens: list[np.ndarray], classes: list[int], tags: list[int], bits: int, shift: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``bucket, tokens, owner, classes, tags``: 32 bits of a shingle and its class's number in the row."""
-    x = np.concatenate(tokens)
-    owner = np.repeat(np.arange(len(tokens), dtype=np.uint16), [len(t) for t in tokens])
-    x = x << U(shift)
-    bucket = (x >> U(64 - bits)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    x, owner, bucket = (x[order] >> U(32 - bits)).astype(np.uint32), owner[order], bucket[order]
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    cls, tag = np.array(classes, np.int64).tobytes(), np.array(tags, np.int64).tobytes() if tags != classes else None
-    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(bucket[lo])], pa.int32()), pa.array([x[lo:hi].tobytes()], pa.binary()), pa.array([owner[lo:hi].tobytes()], pa.binary()), pa.array([cls], pa.binary()), pa.array([tag], pa.binary())],
-            ["bucket", "tokens", "owner", "classes", "tags"],
-        )
+    """Rows ``bucket, pack, tokens, owner, classes, tags``: up to 32 bits of a shingle and its class's number in the pack.
+
+    A shingle that stands under two tags in the pack is counted here and sent once, whatever the number of its
+    owners, so a hot one costs its bucket a row per pack. Buckets below 0 hold these counts.
+    """
+    rest = min(32, 48 - bits)
+    x = np.concatenate(tokens) << U(shift)
+    owner = np.repeat(np.arange(len(tokens), dtype=U), [len(t) for t in tokens])
+    x = (x >> U(64 - bits - rest)) << _WORD | owner
+    x = np.sort(x)
+    x = x[np.append(True, x[1:] != x[:-1])]
+    token, owner = x >> _WORD, (x & U(0xFFFF)).astype(np.uint16)
+    tag = np.array(tags, np.int64)
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    n = np.diff(first, append=len(token))
+    under = tag[owner]
+    mixed = np.minimum.reduceat(under, first) != np.maximum.reduceat(under, first)
+    here = np.repeat(mixed, n)
+    cls = np.array(classes, np.int64)
+    pack = int((mix(cls.view(U), 3) * (np.arange(len(cls), dtype=U) * U(2) + U(1))).sum(dtype=U).astype(np.int64))  # the same whenever a task is run again
+    counts = np.bincount(owner[here], minlength=len(cls)).astype(np.uint32)
+    rows = [(-1 - (pack & ((1 << bits) - 1)), pack, counts.tobytes(), None, cls.tobytes(), None)]
+    send = ~here
+    send[first] = True
+    owner[here] = _ANY
+    token, owner = token[send], owner[send]
+    bucket = (token >> U(rest)).astype(np.int32)
+    token = (token & U((1 << rest) - 1)).astype(np.uint32)
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+    under = tag.tobytes()
+    rows += [(int(bucket[lo]), pack, token[lo:hi].tobytes(), owner[lo:hi].tobytes(), None, under) for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(token)], strict=True)]
+    names = ["bucket", "pack", "tokens", "owner", "classes", "tags"]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names)
+
+
+_COUNTED = "pack long, owner binary, counts binary, classes binary"
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """One bucket: for each class, its distinct shingles that stand under two tags at least."""
-    tokens, classes, tags = [], [], []
-    for row in zip(*(table.column(c).to_pylist() for c in ("tokens", "owner", "classes", "tags")), strict=True):
-        owner = np.frombuffer(row[1], np.uint16)
-        cls = np.frombuffer(row[2], np.int64)
-        tokens.append(np.frombuffer(row[0], np.uint32))
-        classes.append(cls[owner])
-        tags.append(np.frombuffer(row[3], np.int64)[owner] if row[3] is not None else classes[-1])
-    t, c, g = map(np.concatenate, (tokens, classes, tags))
-    order = np.argsort(t, kind="stable")
-    t, c, g = t[order], c[order], g[order]
-    first = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
-    mixed = np.minimum.reduceat(g, first) != np.maximum.reduceat(g, first)
-    keep = np.repeat(mixed, np.diff(np.append(first, len(t))))
-    t, c = t[keep], c[keep]
-    order = np.lexsort((t, c))
-    t, c = t[order], c[order]
-    new = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])) if len(t) else np.zeros(0, bool)
-    cls, n = np.unique(c[new], return_counts=True)
-    return pa.table({"c": pa.array(cls, pa.int64()), "shared": pa.array(n, pa.int64())})
-
-
-_PACKED = "bucket int, tokens binary, owner binary, classes binary, tags binary"
+    """One bucket: for each pack, how many shingles of its classes stand under two tags at least."""
+    out, tokens, tags, owners, packs, size = [], [], [], [], [], 0
+    for row in table.to_pylist():
+        if row["bucket"] < 0:
+            out.append((row["pack"], None, row["tokens"], row["classes"]))
+            continue
+        owner, tag = np.frombuffer(row["owner"], np.uint16), np.frombuffer(row["tags"], np.int64)
+        tokens.append(np.frombuffer(row["tokens"], np.uint32))
+        tags.append(tag[np.where(owner == _ANY, 0, owner)])
+        owners.append(np.where(owner == _ANY, -1, owner.astype(np.int64) + size))
+        packs.append((row["pack"], size, size + len(tag)))
+        size += len(tag)
+    if packs:
+        t, g, o = map(np.concatenate, (tokens, tags, owners))
+        order = np.argsort(t, kind="stable")
+        t, g, o = t[order], g[order], o[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        mixed = (np.minimum.reduceat(g, first) != np.maximum.reduceat(g, first)) | (np.minimum.reduceat(o, first) < 0)
+        keep = np.repeat(mixed, np.diff(first, append=len(t))) & (o >= 0)
+        counts = np.bincount(o[keep], minlength=size)
+        for pack, lo, hi in packs:
+            some = np.flatnonzero(counts[lo:hi])
+            if len(some):
+                out.append((pack, some.astype(np.uint16).tobytes(), counts[lo:hi][some].astype(np.uint32).tobytes(), None))
+    cols = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.table({k: pa.array(c, t) for k, c, t in zip(("pack", "owner", "counts", "classes"), cols, (pa.int64(), *[pa.binary()] * 3), strict=True)})
+
+
+def _by_class(table: pa.Table) -> pa.Table:
+    """One pack: the counts of its classes, from all buckets. Packs of the same classes hold the same sets."""
+    rows = table.to_pylist()
+    own = [r for r in rows if r["owner"] is None]
+    cls, total = np.frombuffer(own[0]["classes"], np.int64), np.frombuffer(own[0]["counts"], np.uint32).astype(np.int64)
+    for r in rows:
+        if r["owner"] is not None:
+            total[np.frombuffer(r["owner"], np.uint16)] += np.frombuffer(r["counts"], np.uint32)
+    return pa.table({"c": pa.array(cls, pa.int64()), "shared": pa.array(total, pa.int64())})
+
+
+_PACKED = "bucket int, pack long, tokens binary, owner binary, classes binary, tags binary"
+
+
+def _bits(total: int) -> int:
+    """Buckets of about ``BUCKET`` shingles, as a power of two."""
+    return min(24, max(4, int(np.ceil(np.log2(max(1, total / BUCKET))))))
 
 
 def shared_counts(df: DataFrame, read, half: bool, total: int) -> DataFrame:
-    """``c, shared``. ``read``: batch to (class, tag, set); ``total``: about how many shingles come, which sets the buckets."""
-    bits = min(24, max(6, int(np.ceil(np.log2(max(1, total / BUCKET))))))
+    """``c, shared``. ``read``: batch to (class, tag, set); ``total``: about how many shingles come, which sets the buckets.
+
+    A class that stands in several packs has its whole count from each of them.
+    """
+    bits = _bits(total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -159,15 +215,15 @@ def shared_counts(df: DataFrame, read, half: bool, total: int) -> DataFrame:
                 classes.append(c)
                 tags.append(tag)
                 size += len(x)
-                if size > 1_500_000 or len(tokens) >= 65_000:
+                if size > PACK or len(tokens) >= 65_000:
                     yield from _packed(tokens, classes, tags, bits, int(half))
                     tokens, classes, tags, size = [], [], [], 0
-                    if len(seen) > 1_000_000:
-                        seen.clear()
+                    seen.clear()
         if tokens:
             yield from _packed(tokens, classes, tags, bits, int(half))
 
-    return df.mapInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(_shared, "c long, shared long").groupBy("c").agg(F.sum("shared").alias("shared"))
+    counted = df.mapInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(_shared, _COUNTED)
+    return counted.groupBy("pack").applyInArrow(_by_class, "c long, shared long").groupBy("c").agg(F.max("shared").alias("shared"))
 
 
 # -- The prefix tree
@@ -180,27 +236,30 @@ class _Node:
         self.part, self.children, self.ends, self.least, self.most = part, [], [], 0, 0
 
 
-def _tree(sets: list[np.ndarray], rows: list[int], depth: int) -> _Node:
-    """Over sets that agree in their first ``depth`` elements, in lexical order. A node's part is what all below share next."""
-    a, b = sets[rows[0]], sets[rows[-1]]
-    n = min(len(a), len(b)) - depth
-    differ = np.flatnonzero(a[depth : depth + n] != b[depth : depth + n])
-    end = depth + (int(differ[0]) if len(differ) else n)
-    node = _Node(a[depth:end])
-    sizes = [len(sets[r]) for r in rows]
-    node.least, node.most = min(sizes), max(sizes)
-    lo = 0
-    while lo < len(rows) and len(sets[rows[lo]]) == end:
-        node.ends.append(rows[lo])
-        lo += 1
-    while lo < len(rows):
-        hi = lo + 1
-        head = sets[rows[lo]][end]
-        while hi < len(rows) and sets[rows[hi]][end] == head:
-            hi += 1
-        node.children.append(_tree(sets, rows[lo:hi], end))
-        lo = hi
-    return node
+def _tree(sets: list[np.ndarray], rows: list[int]) -> _Node:
+    """Over sets in lexical order. A node's part is what all below share next."""
+    top = _Node(np.zeros(0, U))
+    todo = [(top, 0, len(rows), 0)]
+    while todo:
+        parent, lo, hi, depth = todo.pop()
+        a, b = sets[rows[lo]], sets[rows[hi - 1]]
+        n = min(len(a), len(b)) - depth
+        differ = np.flatnonzero(a[depth : depth + n] != b[depth : depth + n])
+        end = depth + (int(differ[0]) if len(differ) else n)
+        node = _Node(a[depth:end])
+        parent.children.append(node)
+        sizes = [len(sets[r]) for r in rows[lo:hi]]
+        node.least, node.most = min(sizes), max(sizes)
+        while lo < hi and len(sets[rows[lo]]) == end:
+            node.ends.append(rows[lo])
+            lo += 1
+        while lo < hi:
+            head, to = sets[rows[lo]][end], lo + 1
+            while to < hi and sets[rows[to]][end] == head:
+                to += 1
+            todo.append((node, lo, to, end))
+            lo = to
+    return top.children[0]
 
 
 def tree_join(sets: list[np.ndarray], group: list[int]) -> list[tuple[int, int]]:
@@ -220,7 +279,7 @@ def tree_join(sets: list[np.ndarray], group: list[int]) -> list[tuple[int, int]]
     if not rows:
         return []
     links: list[tuple[int, int]] = []
-    start = _tree(sets, rows, 0)
+    start = _tree(sets, rows)
     # One side of every pair is outside the largest group.
     largest, size = Counter(group).most_common(1)[0]
     for x in rows if size == 1 else [r for r in rows if group[r] != largest]:
@@ -273,26 +332,37 @@ def _block_links(table: pa.Table) -> pa.Table:
         for a, b in tree_join([np.frombuffer(t, U) for t in table.column("tokens").to_pylist()], classes):
             a, b = sorted((find(classes[a]), find(classes[b])))
             leader[b] = a
-    return pa.table({"c": pa.array(classes, pa.int64()), "leader": pa.array([find(c) for c in classes], pa.int64())})
+    told = pa.array([find(c) for c in classes], pa.int64())
+    return pa.table({"c": table.column("c"), "leader": told, "key": table.column("key"), "parts": table.column("parts")})
 
 
 def _contract(sets: DataFrame) -> DataFrame:
-    """``a, b``: links found in blocks under the least hashes, over and over with fewer salts."""
-    edges = None
+    """``a, b``: links found in blocks of about ``BLOCK`` classes that share a least hash.
+
+    A key with more classes has several blocks; each hands on one class of each component, and these meet again
+    as long as a round leaves a key three quarters of its classes at most. What is left then, if more than a
+    block, is for the late links to find.
+    """
+    edges = []
     for k in range(_KEYS):
-        key = f"k{k}"
-        most = sets.groupBy(key).agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
-        salts, live = max(1, -(-most // BLOCK)), sets.select("c", "tokens", key)
+        live, before, number = sets.select("c", F.col(f"k{k}").alias("key"), "tokens"), None, 0
         while True:
-            salted = live.withColumn("s", F.pmod(F.col("c"), F.lit(salts)))
-            told = settle(salted.groupBy(key, "s").applyInArrow(_block_links, "c long, leader long"))
-            found = told.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))
-            edges = found if edges is None else edges.unionByName(found)
-            if salts == 1:
+            size = live.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+            if before is not None:
+                size = size.join(before.withColumnRenamed("m", "was"), "key").where(F.col("m") <= F.col("was") * F.when(F.col("m") <= BLOCK, 1.0).otherwise(0.75)).drop("was")
+            size = sized(size)
+            met = live.join(size.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m"), "key").withColumn("s", F.pmod(F.xxhash64("c", F.lit(number)), F.col("parts")))
+            told = settle(met.groupBy("key", "s").applyInArrow(_block_links, "c long, leader long, key long, parts int"))
+            edges.append(settle(told.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))))
+            again = told.where("c = leader AND parts > 1").select("c", "key")
+            if again.isEmpty():
+                discard(size, told)
                 break
-            live = live.join(told.where("c = leader").select("c"), "c", "left_semi")
-            salts = max(1, salts // 16)
-    return edges
+            live, before, number = sets.select("c", "tokens").join(sized(again), "c"), size, number + 1
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionByName(more)
+    return settle(out.distinct(), *edges)
 
 
 # -- Step 6
@@ -306,74 +376,206 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = label.join(near, label["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = settle(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")))
+        new = settle(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), label)
         label = new.select("node", "root")
+        label._settled = new._settled
         if new.where("old <> root").isEmpty():
+            discard(both)
             return label
 
 
 # -- Step 5
 
 
-def _band(step: float = 4.0 / 3) -> Column:
-    """J >= 3/4 keeps sizes within a factor of 4/3, so with that step partners lie in the same band or in neighbouring ones."""
-    return F.floor(F.log(F.col("n") + F.lit(0.0)) / F.log(F.lit(step)) + F.lit(1e-9)).cast("int")
-
+def _ranked(left: DataFrame, total: int) -> DataFrame:
+    """``c, tag, n, parts``: each class's shingles that stand under two tags, with the number of tags, by bucket."""
+    bits = _bits(total)
 
-def _may_link(each: DataFrame, light: int = 64) -> DataFrame:
-    """``a, b``: pairs of components of which one has a class that shares enough with one size band of the other to link with it.
-
-    J >= 3/4 means that 7 * intersection >= 3 * (n + the partner's size), and a band has a least size. Shingles
-    of over ``light`` such bands count as shared with any, so a shingle gives few rows and nothing is lost.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, tag, n, sets = (batch.column(k).to_pylist() for k in ("c", "tag", "n", "tokens"))
+            if not c:
+                continue
+            x = np.concatenate([np.frombuffer(t, U) for t in sets])
+            owner = np.repeat(np.arange(len(c)), n)
+            bucket = (x >> U(64 - bits)).astype(np.int64)
+            order = np.argsort(bucket * len(c) + owner, kind="stable")
+            x, at = x[order], (bucket * len(c) + owner)[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            ends, held = np.append(first[1:], len(x)), x.tobytes()
+            who = at[first] % len(c)
+            cols = [(at[first] // len(c)).tolist(), *([v[w] for w in who.tolist()] for v in (c, tag, n)), [held[8 * a : 8 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int32(), *[pa.int64()] * 3, pa.binary()), strict=True)], ["bucket", "c", "tag", "n", "tokens"])
+
+    def rank(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(t, U) for t in table.column("tokens").to_pylist()]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        x, tag = np.concatenate(sets), np.array(table.column("tag").to_numpy())[owner]
+        order = np.lexsort((tag, x))
+        new = np.append(True, x[order][1:] != x[order][:-1])
+        tags = new | np.append(True, tag[order][1:] != tag[order][:-1])
+        which = np.cumsum(new) - 1
+        spread = np.empty(len(x), np.uint32)
+        spread[order] = np.bincount(which, weights=tags)[which]
+        at = np.append(0, np.cumsum([len(s) for s in sets])).tolist()
+        parts = [(x[a:b][spread[a:b] > 1].tobytes(), spread[a:b][spread[a:b] > 1].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        out = pa.table({"c": table.column("c"), "tag": table.column("tag"), "n": table.column("n"), "tokens": pa.array([p[0] for p in parts], pa.binary()), "spread": pa.array([p[1] for p in parts], pa.binary())})
+        return out.filter(pa.array([len(p[0]) > 0 for p in parts]))
+
+    packed = left.select("c", "tag", "n", "tokens").mapInArrow(pack, "bucket int, c long, tag long, n long, tokens binary")
+    each = packed.groupBy("bucket").applyInArrow(rank, "c long, tag long, n long, tokens binary, spread binary")
+    return each.groupBy("c", "tag", "n").agg(F.collect_list(F.struct("tokens", "spread")).alias("parts"))
+
+
+def _prefixes(left: DataFrame, total: int) -> DataFrame:
+    """``token, c, tag, n``: the shingles under the fewest tags, so many of each class that two classes that link share one.
+
+    A link shares three quarters of either set at least, all of it under two tags; what comes after the prefix
+    is one shingle too few. Classes with fewer shingles under two tags can't link and go.
     """
-    step, reach = 1.05, 6  # 1.05 ** 6 > 4 / 3
-    places = each.select("token", F.col("tag").alias("other"), _band(step).alias("theirs")).distinct()
-    spread = places.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
-    near = places.join(spread.where(F.col("g") <= light).select("token"), "token")
-    met = each.select("c", "tag", "token", _band(step).alias("own")).join(near, "token").where(f"tag <> other AND abs(own - theirs) <= {reach}")
-    # What the shared shingles leave over, at best, after the partner's part of the bound.
-    over = 7 * F.col("s") - 3 * F.pow(F.lit(step), F.col("theirs"))
-    shared = met.groupBy("c", "other", "theirs").agg(F.count("*").alias("s")).groupBy("c", "other").agg(F.max(over).alias("over"))
-    hot_tokens = spread.where(F.col("g") > light).select("token")
-    hot = settle(each.join(hot_tokens, "token").select("c", "tag", "n", "token"))
-    counted = hot.groupBy("c").agg(F.count("*").alias("hot"))
-    part = 7 * F.coalesce("hot", F.lit(0))
-    own = each.select("c", "tag", "n").distinct()
-    light_links = shared.join(own, "c").join(counted, "c", "left").where(F.col("over") + part >= 3 * F.col("n") - 1e-6).select(F.col("tag").alias("a"), F.col("other").alias("b"))
-    # Without a light shingle between them, both have hot ones enough: a partner has 3/4 of the size at least.
-    rich = hot.join(counted, "c").where(part >= 3 * F.col("n") * 1.75 - 1e-6)
-    hubs = rich.groupBy("token").agg(F.min("tag").alias("b"))
-    hot_links = rich.join(hubs, "token").select(F.col("tag").alias("a"), "b")
-    return light_links.unionByName(hot_links).distinct()
-
-
-def _late_links(left: DataFrame) -> DataFrame | None:
-    """``a, b``: links between tags among ``c, tag, n, tokens``; None if there can be none."""
 
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for c, tag, n, t in zip(*(batch.column(k).to_pylist() for k in ("c", "tag", "n", "tokens")), strict=True):
-            x = np.frombuffer(t, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v), pa.int64()) for v in (c, tag, n)] + [pa.array(x)], ["c", "tag", "n", "token"])
+    def prefix(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for c, tag, n, parts in zip(*(batch.column(k).to_pylist() for k in ("c", "tag", "n", "parts")), strict=True):
+            x = np.concatenate([np.frombuffer(p["tokens"], U) for p in parts])
+            few = len(x) - (n - n // 4) + 1
+            if few > 0:
+                spread = np.concatenate([np.frombuffer(p["spread"], np.uint32) for p in parts])
+                rows.append((c, tag, n, x[np.lexsort((x, spread))[:few]].view(np.int64)))
+        if rows:
+            size = [len(r[3]) for r in rows]
+            cols = [pa.array(np.concatenate([r[3] for r in rows]))] + [pa.array(np.repeat(np.array([r[k] for r in rows], np.int64), size)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(cols, ["token", "c", "tag", "n"])
+
+    return map_rows(_ranked(left, total), prefix, "token long, c long, tag long, n long")
+
+
+def _light_pairs(table: pa.Table) -> pa.Table:
+    """One bucket of prefix shingles: the pairs of classes of two tags and like sizes that share one."""
+    token, c, tag, n = (np.array(table.column(k).to_numpy()) for k in ("token", "c", "tag", "n"))
+    order = np.lexsort((c, n, token))
+    token, c, tag, n = token[order], c[order], tag[order], n[order]
+    found, at = [], np.arange(len(token))
+    for step in range(1, LIGHT):
+        at = at[at + step < len(token)]
+        at = at[(token[at] == token[at + step]) & (4 * n[at] >= 3 * n[at + step])]
+        if not len(at):
+            break
+        two = at[tag[at] != tag[at + step]]
+        found.append(np.stack([np.minimum(c[two], c[two + step]), np.maximum(c[two], c[two + step])], 1))
+        if len(found) % 16 == 0:
+            found = [np.unique(np.concatenate(found), axis=0)]
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def signature(x: np.ndarray) -> bytes:
+    """Parities of the set's hashes over 2 to 4 bits for each element (64 at least): as many bits differ between two sets as elements, at most."""
+    bits = max(64, 1 << int(2 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((mix(x, 60) & U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between rows of signatures; the longer ones are folded."""
+    while a.shape[-1] > b.shape[-1]:
+        a = a[..., : a.shape[-1] // 2] ^ a[..., a.shape[-1] // 2 :]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[..., : b.shape[-1] // 2] ^ b[..., b.shape[-1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of pairs with sizes and signatures, those that may link: two linked sets differ in a seventh of their sizes' sum at most."""
+    a, b, n, m, s, t = (batch.column(k).to_pylist() for k in ("a", "b", "n", "m", "s", "t"))
+    keep = [7 * int(_differ(np.frombuffer(x, U), np.frombuffer(y, U))) <= u + v for x, y, u, v in zip(s, t, n, m, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(col, keep, strict=True) if k], pa.int64()) for col in (a, b)], ["a", "b"])
+
+
+def _cell_pairs(table: pa.Table) -> pa.Table:
+    """One cell of classes under hot shingles: a forest over the pairs of two tags that may link."""
+    c, tag, n = (np.array(table.column(k).to_numpy()) for k in ("c", "tag", "n"))
+    first, second = (np.flatnonzero(np.array(table.column(k).to_numpy(zero_copy_only=False))) for k in ("first", "second"))
+    held = [np.frombuffer(s, U) for s in table.column("sig").to_pylist()]
+    words = min(map(len, held))
+    flat = np.empty((len(held), words), U)
+    for k, s in enumerate(held):
+        flat[k] = np.bitwise_xor.reduce(s.reshape(-1, words), axis=0)
+    up = {}
+
+    def find(x: int) -> int:
+        while (p := up.get(x, x)) != x:
+            up[x] = up.get(p, p)
+            x = up[x]
+        return x
 
-    each = settle(map_rows(left.select("c", "tag", "n", "tokens"), rows, "c long, tag long, n long, token long"))
-    pairs = settle(_may_link(each))
+    a, b = [], []
+    for x in first.tolist():
+        near = second[(tag[second] != tag[x]) & (4 * np.minimum(n[second], n[x]) >= 3 * np.maximum(n[second], n[x]))]
+        differ = np.zeros(len(near), np.int64)
+        for w in range(words):
+            differ += np.bitwise_count(flat[near, w] ^ flat[x, w])
+        for y in near[7 * differ <= n[near] + n[x]].tolist():
+            if find(x) != find(y):
+                up[find(x)] = find(y)
+                a.append(int(c[x]))
+                b.append(int(c[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _bands() -> Column:
+    """J >= 3/4 keeps sizes within a factor of 4/3, so with that step partners lie in the same band or in neighbouring ones; a group holds two."""
+    band = F.floor(F.log(F.col("n") + F.lit(0.0)) / F.log(F.lit(4.0 / 3)) + F.lit(1e-9)).cast("int")
+    return F.explode(F.array(band, band - 1))
+
+
+def _cells(inside: DataFrame, block: int) -> DataFrame:
+    """``inside`` (c, n, root and more) dealt into cells: all pairs of the blocks of a circle and size band."""
+    post = inside.withColumn("band", _bands())
+    size = post.groupBy("root", "band").agg(F.count("*").alias("m")).where("m > 1").select("root", "band", F.ceil(F.col("m") / block).cast("int").alias("parts"))
+    part = post.join(size, ["root", "band"]).withColumn("p", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"))))
+    return part.withColumn("cell", cell).withColumn("first", F.col("p") == F.col("cell.i")).withColumn("second", F.col("p") == F.col("cell.j"))
+
+
+def _candidates(left: DataFrame, total: int) -> DataFrame:
+    """``a, b``: pairs of classes of two tags, with all that link in the same circle."""
+    post = settle(_prefixes(left, total))
+    heavy = sized(post.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > LIGHT).select("token"))
+    bucket = F.pmod(F.xxhash64("token"), F.lit(1 << _bits(8 * max(1, post.count()))))
+    pairs = settle(post.join(heavy, "token", "left_anti").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_light_pairs, "a long, b long").distinct())
+
+    def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sigs = pa.array([signature(np.frombuffer(t, U)) for t in batch.column("tokens").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("c", "tag", "n")), sigs], ["c", "tag", "n", "sig"])
+
+    signed = settle(map_rows(left.select("c", "tag", "n", "tokens"), sign, "c long, tag long, n long, sig binary"))
+    one, two = signed.select(F.col("c").alias("a"), "n", F.col("sig").alias("s")), signed.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("sig").alias("t"))
+    out = settle(map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "s", "t"), _near, "a long, b long"), pairs)
+    hot = settle(post.join(heavy, "token").select("token", "c", _bands().alias("band")), post)
+    if not hot.isEmpty():
+        hubs = sized(hot.groupBy("token", "band").agg(F.min("c").alias("b")))
+        circles = components(hot.join(hubs, ["token", "band"]).select(F.col("c").alias("a"), "b").where("a <> b").distinct())
+        inside = settle(signed.join(sized(circles).withColumnRenamed("node", "c"), "c"), circles, hubs)
+        out = settle(out.unionByName(_cells(inside, CELL).groupBy("root", "band", "cell").applyInArrow(_cell_pairs, "a long, b long")).distinct(), out, inside)
+    discard(signed, heavy, hot)
+    return out
+
+
+def _late_links(left: DataFrame, total: int) -> DataFrame | None:
+    """``a, b``: links between tags among ``c, tag, n, tokens``; None if there can be none."""
+    pairs = _candidates(left, total)
     if pairs.isEmpty():
         return None
     circles = components(pairs)
-    inside = settle(left.join(circles, F.col("tag") == F.col("node")).select("c", "tag", "n", "root", "tokens"))
-    band = _band()
-    post = inside.select("c", "root", F.explode(F.array(band, band - 1)).alias("band"))  # a group holds two neighbouring bands
-    size = post.groupBy("root", "band").agg(F.count("*").alias("m")).where("m > 1").select("root", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    part = post.join(size, ["root", "band"]).withColumn("p", F.pmod(F.xxhash64("c"), "parts").cast("int"))
-    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"))))
-    cells = part.select("c", "root", "band", cell.alias("cell")).join(inside.select("c", "tag", "tokens"), "c")
+    inside = settle(left.join(sized(circles).withColumnRenamed("node", "c"), "c").select("c", "tag", "n", "root", "tokens"), pairs, circles)
 
     def join(table: pa.Table) -> pa.Table:
         tags = table.column("tag").to_pylist()
         links = tree_join([np.frombuffer(t, U) for t in table.column("tokens").to_pylist()], tags) if len(set(tags)) > 1 else []
         return pa.table({"a": pa.array([tags[x] for x, _ in links], pa.int64()), "b": pa.array([tags[y] for _, y in links], pa.int64())})
 
-    return settle(cells.groupBy("root", "band", "cell.i", "cell.j").applyInArrow(join, "a long, b long").distinct())
+    cells = _cells(inside, BLOCK).select("tag", "root", "band", "cell", "tokens")
+    return settle(cells.groupBy("root", "band", "cell").applyInArrow(join, "a long, b long").distinct(), inside)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -398,26 +600,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.binary(),) + (pa.int64(),) * _KEYS, strict=True)], ["c", "n", "rep", "tokens", "k0", "k1", "k2"])
 
-    with_text = _texts(docs).join(alive, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "c", "c2")
+    with_text = _texts(docs).join(sized(alive), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "c", "c2")
     held = settle(map_rows(with_text, sets, _SETS))
     if _repeated(own):
-        held = settle(held.dropDuplicates(["c"]))
-    joined = components(_contract(held))
-    roots = settle(held.select("c").join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root")))
-    tagged = held.select("c", "n", "tokens").join(roots.withColumnRenamed("root", "tag"), "c")
+        held = settle(held.dropDuplicates(["c"]), held)
+    discard(alive)
+    edges = _contract(held)
+    joined = components(edges)
+    roots = settle(held.select("c").join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root")), edges, joined)
+    tagged = held.select("c", "n", "tokens").join(sized(roots).withColumnRenamed("root", "tag"), "c")
 
     def from_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         for c, tag, t in zip(*(batch.column(k).to_pylist() for k in ("c", "tag", "tokens")), strict=True):
             yield c, tag, np.frombuffer(t, U)
 
-    again = shared_counts(tagged.select("c", "tag", "tokens"), from_sets, False, int(held.agg(F.sum("n")).first()[0] or 0))
-    left = settle(tagged.join(again, "c").where(F.col("shared") >= F.col("n") - F.floor(F.col("n") / 4)).select("c", "tag", "n", "tokens"))
-    late = _late_links(left) if not left.isEmpty() else None
+    again = sized(shared_counts(tagged.select("c", "tag", "tokens"), from_sets, False, int(held.agg(F.sum("n")).first()[0] or 0)))
+    left = settle(tagged.join(again, "c").where(F.col("shared") >= F.col("n") - F.floor(F.col("n") / 4)).select("c", "tag", "n", "tokens"), held, again)
+    many = int(left.agg(F.sum("n")).first()[0] or 0)
+    late = _late_links(left, many) if many else None
+    discard(left)
     if late is not None and not late.isEmpty():
-        roots = roots.join(components(late).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
+        top = components(late)
+        roots = settle(roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("c", F.coalesce("top", "root").alias("root")), roots, top, late)
     rooted = classes.select("c", "rep").join(roots, "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
     first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    told = settle(rooted.join(first, "root").select("c", "component_id"))
+    told = settle(rooted.join(first, "root").select("c", "component_id"), classes, roots)
     out = own.join(told, "c", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
