@@ -52,23 +52,32 @@ def test_empty_table(spark, tmp_path):
     assert dedup.exact_duplicates(spark, path).count() == 0
 
 
-def test_line_dedup_edges(spark):
+@pytest.mark.parametrize("most", [lines.BROADCAST_ROWS, 0])
+def test_line_dedup_edges(spark, most):
     menu, tail = "home | about", "all rights"
     rows = [(i, f"own text number {i} that is long enough\n {menu} \n\n{tail if i % 2 else ''}", f"s{i}", 0) for i in range(12)]
     rows += [(90 + i, "a whole copied page\nof two lines", f"s{i}", 0) for i in range(12)] + [(200, None, None, 0), (201, "", None, 0), (None, f"x of some length that stays\n{menu}", "s1", 0), (202, "z\n" * 100_000, "s", 0)]
     rows += [rows[3]]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int")
-    got = lines.clean_lines(df).collect()
-    assert len(got) == len(rows)
+    for taken in ("ident", "form", "lost", "own", "gone", "h", "pos", "_text", "_lost", "N_Lines"):
+        df = df.withColumn(taken, F.lit(f"own {taken}"))
+    got = lines.clean_lines(df, broadcast_rows=most).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == [*df.columns, "n_lines_", "n_removed_"]
+    assert all(r.n_removed == 0 and r["_text"] == "own _text" and r.pos == "own pos" and r.N_Lines == "own N_Lines" for r in got)
     for r in got:
         if r.doc_id is not None and r.doc_id < 90:
-            assert menu not in r.text and r.n_removed == 1 and (tail in r.text) == bool(r.doc_id % 2)
+            assert menu not in r.text and r.n_removed_ == 1 and (tail in r.text) == bool(r.doc_id % 2)
         if r.doc_id is None:
             assert r.text == "x of some length that stays"
         if r.doc_id is not None and 90 <= r.doc_id < 200:
-            assert r.text == "a whole copied page\nof two lines" and r.n_removed == 0
+            assert r.text == "a whole copied page\nof two lines" and r.n_removed_ == 0
     assert {r.doc_id: r.text for r in got}[200] is None
-    assert lines.clean_lines(df.limit(0)).count() == 0
+    assert lines.clean_lines(df.limit(0), broadcast_rows=most).count() == 0
+
+
+def test_line_dedup_joined_by_shuffle_equals_its_sql(spark):
+    cleaned = lines.clean_lines(spark.read.parquet(f"{SMALL}/documents.parquet"), broadcast_rows=0)
+    assert_same(cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256")), lines.SQL)
 
 
 def test_pipeline_takes_long_menus_out_of_short_pages(spark):

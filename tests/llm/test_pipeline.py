@@ -23,8 +23,7 @@ def plain_lines(rows):
     out = []
     for d, text, source in rows:
         own = text.split("\n")
-        lost = sum(len(x.strip(" ")) for x in own if x.strip(" ") in bad)
-        if lost <= lines.MOST_REMOVED * sum(len(x.strip(" ")) for x in own):
+        if any(x.strip(" ") and x.strip(" ") not in bad for x in own):
             text = "\n".join(x for x in own if x.strip(" ") not in bad)
         out.append((d, text, source))
     return out
