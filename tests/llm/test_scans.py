@@ -41,6 +41,15 @@ def test_words_equal_the_pattern():
                 assert [int(x) for x in h[bounds[i] : bounds[i + 1]]] == [alphabet.hash(w) for w in own]
 
 
+def told(own, theirs, block, threshold):
+    """Whether a block that holds enough of ``own`` is not the other's."""
+    if len(own & theirs) < threshold * len(own) - 1e-12:
+        return True
+    if own - theirs:
+        return len(own - theirs & set(block)) >= threshold * len(own - theirs) - 1e-12
+    return sorted(block.count(w) for w in own)[len(own) // 2] > min(block.count(w) for w in theirs - own)
+
+
 def plain_licenses(text, threshold=0.8):
     words = fold(text)
     starts, labels = [], set()
@@ -53,8 +62,9 @@ def plain_licenses(text, threshold=0.8):
     for label, template in licenses.TEMPLATES:
         t = fold(template)
         for lo in range(0, len(words), len(t)):
-            share = len(set(t) & set(words[lo : lo + 2 * len(t)])) / len(set(t))
-            if share >= threshold - 1e-12:
+            block = words[lo : lo + 2 * len(t)]
+            share = len(set(t) & set(block)) / len(set(t))
+            if share >= threshold - 1e-12 and all(told(set(t), set(fold(o)), block, threshold) for other, o in licenses.TEMPLATES if other != label):
                 labels.add(label)
                 score = max(score, share)
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), base, ",".join(sorted(labels)), score)
@@ -62,7 +72,7 @@ def plain_licenses(text, threshold=0.8):
 
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(1)
-    texts = TEXTS[:7]
+    texts = [*TEXTS[:7], "word " * 30_000 + licenses.TEMPLATES[0][1] + " word" * 30_000, *(f"{a} x y {b}" for _, a in licenses.TEMPLATES[3:11:3] for _, b in licenses.TEMPLATES)]
     for _, t in licenses.TEMPLATES:
         words = t.split()
         for drop in (0, 1, 3, 6):
@@ -74,6 +84,14 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_each_template_gives_its_own_label_alone(spark):
+    df = spark.createDataFrame([(i, f"some words before. {t} And some after.") for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(None, licenses.TEMPLATES[0][1])] * 2, "doc_id long, text string")
+    rows = licenses.scan_licenses(df).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in rows} == {i: (label, 1.0) for i, (label, _) in enumerate(licenses.TEMPLATES)} | {None: (licenses.TEMPLATES[0][0], 1.0)} and len(rows) == len(licenses.TEMPLATES) + 2
+    both = " ".join(t for label, t in licenses.TEMPLATES if label.startswith("cc-by"))
+    assert licenses.scan_licenses(spark.createDataFrame([(1, both)], "doc_id long, text string")).first().labels == "cc-by,cc-by-sa"
+
+
 def test_license_query_on_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = QUERIES["op1_license_scan"](spark, SMALL).collect()
@@ -185,12 +203,18 @@ def test_decontamination_recall_and_precision(spark):
     assert benchmark.contaminated(corpus(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("length", [1, 3, 5, 6, 8, 10, 12, 15, 16, 19, 25, 40])
+def found_in(items, texts):
+    index = benchmark.Index(items, benchmark.Plan())
+    return {(r, index.items[k][0]): told for r, k, told in benchmark._found(pa.array(texts, pa.string()), index)}
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16, 19, 20, 25, 32, 40, 50, 60, 100])
 def test_decontamination_recall_by_length(length):
+    """With exactly a fifth of the words edited; copies without edits are all found."""
     rng = random.Random(length)
     bag = [f"w{i}" for i in range(400)]
     items = [(i, " ".join(rng.choices(bag, k=length))) for i in range(50)]
-    index, texts = benchmark._Index(items, benchmark.Plan()), []
+    texts = []
     for n in range(300):
         copy, kind = items[n % 50][1].split(), rng.randrange(4)
         places = rng.sample(range(length), int(0.2 * length))
@@ -199,10 +223,39 @@ def test_decontamination_recall_by_length(length):
         for at in sorted(places, reverse=True):
             copy[at : at + 1] = [["zz"], [], [copy[at], "yy"], ["zz"]][kind if kind else 0]
         texts.append(" ".join(rng.choices(bag, k=rng.randrange(60)) + copy + rng.choices(bag, k=rng.randrange(60))))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
-    got = {p for b in benchmark._matches(batch, index) for p in zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), strict=True)}
-    found = sum((n, n % 50) in got for n in range(300))
-    assert found == 300 if length < benchmark.SHORT else found >= 0.95 * 300
+    texts += [" ".join(rng.choices(bag, k=rng.randrange(60)) + t.split() + rng.choices(bag, k=rng.randrange(60))) for _, t in items]
+    got = found_in(items, texts)
+    assert sum((n, n % 50) in got for n in range(300)) >= 0.95 * 300
+    assert all(got[300 + n, n][0] == 0 for n in range(50))
+
+
+def test_decontamination_edges(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    items = [(1, passage), (2, passage.upper()), (1, passage), (None, "only this one"), (5, "rest of it all")]
+    rows = [(7, f"x y {passage} z"), (7, f"x y {passage} z"), (8, passage.replace("w3 ", "")), (None, "say ONLY this one."), (9, "w " * 200_000 + passage), (10, None), (None, "clean"), (None, None)]
+    docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, item_id string, distance int")
+    found = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in benchmark.contaminated(docs, found).collect()), key=repr)
+    want = [(7, k, 0, 2, 31) for k in (1, 1, 2)] * 2 + [(8, k, 1, 0, 28) for k in (1, 1, 2)] + [(9, k, 0, 200_000, 200_029) for k in (1, 1, 2)] + [(None, None, 0, 1, 3)]
+    assert got == sorted(want, key=repr)
+    left = benchmark.decontaminate(docs, found)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(10, None), (None, "clean"), (None, None)], key=repr) and left.columns == docs.columns
+    small = benchmark.Plan(block_bytes=100)
+    assert sorted((tuple(r) for r in benchmark.contaminated(docs, found, small).collect()), key=repr) == got and benchmark.decontaminate(docs, found, small).count() == 3
+
+
+def test_items_with_a_common_head_are_cheap():
+    head = " ".join(f"h{i}" for i in range(12))
+    items = [(i, f"{head} {' '.join(f'a{i}b{k}' for k in range(12))}") for i in range(500)]
+    texts = [" x y z ".join([head] * 20) for _ in range(20)] + [items[9][1]]
+    began = time.process_time()
+    assert set(found_in(items, texts)) == {(20, 9)} and time.process_time() - began < 30
+
+
+def test_long_words_of_two_letters_are_no_match():
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert set(found_in([(1, one), (2, two)], [one, two])) == {(0, 1), (1, 2)}
 
 
 def test_decontamination_query_finds_every_exact_passage(spark):

@@ -1,145 +1,216 @@
-"""Benchmark decontamination (9): CGK embedding, bit-sampling LSH over windows, exact edit verification.
+"""Benchmark decontamination (9): CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 A text is a sequence of words (runs of ASCII letters, digits and all non-ASCII; A-Z as a-z). The CGK walk
-reads it word by word: at step j it writes the word it stands on and moves on if bit j of the word's hash
-is set, so that a few insertions or deletions move two walks apart only for a while and edit distance
-becomes Hamming distance. A key holds a few sampled steps; equal keys make a candidate.
-
-Every word of a document begins a window. Items are indexed from an anchor at every second word, so the
-windows of an item cover it whole, and each repetition uses another walk. Short items give walks few chances,
-so they are also cut into one part more than they may have edits: one part at least stands unedited in any
-match, and equal parts make a candidate. Short items are thus all found. Candidates are verified by exact
-edit distance in words between the whole item and any stretch of the document near by (free ends).
-
-Defined results: a null or empty text or item matches nothing; repeated rows give a row each; items with
-the same text match alike. Items go to the executors in blocks of bounded size, a pass for each block.
+reads it word by word: at step j it writes the word it stands on and moves on if a bit that step and word
+decide is set, so that a few insertions or deletions move two walks apart only for a while and edit distance
+becomes Hamming distance. A walk over one and a half times an item's words covers the item. Each repetition
+uses another walk and samples a few of its steps; an equal sample makes a candidate. The first repetition
+samples only steps that lie in the item for sure, so a copy without edits always meets its item.
+
+Items of one length share their windows: for each length, every place of a document may begin a window. Those
+without enough neighbouring word pairs of the items of that length can't hold one (an edit spoils two pairs at
+most) and are not walked. How many repetitions a length needs is found by simulation: items edited as much as
+is allowed, put between other words, until the target recall is reached.
+
+Candidates of a document and item that lie together are verified as one stretch, by exact edit distance in
+words between the whole item and any part of the stretch (free ends).
+
+Defined results: a null or empty text or item matches nothing; repeated rows give a row each; items with the
+same text match alike, items and documents without an id as well (the row has a null there). Very long texts
+are walked whole. Items go to the executors in blocks of bounded bytes, a pass for each block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import ALNUM, U, map_rows, mix, pieces, words_of
 
 PAIR = "doc_id long, item_id long, distance int, first_word long, last_word long"
-WIDTHS = (8, 4, 2, 1)
-SHORT = 20  # items of fewer words are looked up by parts too
-_FOLD = U(0xD6E8FEB86659FD93)
+Item = tuple[int | None, str]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """``max_edits``: share of an item's words that may be edited. ``repetitions`` by width: the walks tried."""
+    """``max_edits``: share of an item's words that may be edited. Repetitions end at the target recall, or at the most."""
 
     max_edits: float = 0.2
-    repetitions: int = 3
-    sampled: int = 6
-    anchor_step: int = 2
-    block_items: int = 50_000
+    target_recall: float = 0.995
+    most_repetitions: int = 128
+    sampled: int = 2
+    trials: int = 256
+    block_bytes: int = 1 << 25
     seed: int = 9
 
-    def steps(self, width: int, repetition: int) -> np.ndarray:
-        """The sampled steps of a walk of two steps a word; the first always counts, so a window starts as the item does."""
-        rest = np.random.default_rng([self.seed, repetition, width]).permutation(np.arange(1, 2 * width))
-        return np.sort(np.concatenate([[0], rest[: max(self.sampled - 1, 0)]]))
-
-
-def _keys(x: np.ndarray, starts: np.ndarray, plan: Plan, repetition: int, widths: list[int]) -> dict[int, np.ndarray]:
-    """Keys of the windows that begin at ``starts``; one walk serves all widths. x ends each text with a 0."""
-    bits = mix(x, 1000 + repetition)
-    bits[x == 0] = 0  # the walk rests on a text's end
-    return _walk(bits, starts, plan, repetition, widths)
-
-
-def _walk(bits: np.ndarray, starts: np.ndarray, plan: Plan, repetition: int, widths: list[int]) -> dict[int, np.ndarray]:
-    """Key: a sum of the sampled words, each times an odd number of its step."""
-    factor = mix(np.arange(64, dtype=U), plan.seed) | U(1)
-    key = {w: np.full(len(starts), U(w)) for w in widths}
-    sampled = {w: set(plan.steps(w, repetition).tolist()) for w in widths}
-    at, word, spare = starts.astype(np.int64), np.empty(len(starts), U), np.empty(len(starts), U)
-    for j in range(max(map(max, sampled.values())) + 1):
-        np.take(bits, at, out=word, mode="clip")
-        for w in widths:
-            if j in sampled[w]:
-                np.multiply(word, factor[j], out=spare)
-                key[w] += spare
-        word >>= U(j)
-        word &= U(1)
-        at += word.view(np.int64)
-    return {w: mix(k) for w, k in key.items()}
-
-
-def _runs(x: np.ndarray, starts: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """Keys of the runs of words that begin at ``starts``."""
-    factor = mix(np.arange(length, dtype=U), seed) | U(1)
-    key = np.zeros(len(starts), U)
-    for j in range(length):
-        key += np.take(x, starts + j, mode="clip") * factor[j]
+    def edits(self, length: int) -> int:
+        return int(self.max_edits * length)
+
+    def steps(self, length: int, repetition: int) -> np.ndarray:
+        """The sampled steps of a walk."""
+        reach = length if repetition == 0 else max(1, 3 * length // 2)
+        return np.sort(np.random.default_rng([self.seed, repetition, length]).permutation(reach)[: self.sampled])
+
+
+def _walks(x: np.ndarray, starts: np.ndarray, plan: Plan, length: int, repetitions: range) -> np.ndarray:
+    """Keys (repetition, start): a sum of the sampled words, each times an odd number of its step. x ends each text with a 0, where walks rest."""
+    sampled = [plan.steps(length, r) for r in repetitions]
+    last = max(int(s[-1]) for s in sampled)
+    here = np.zeros((last + 1, len(sampled)), bool)
+    for r, s in enumerate(sampled):
+        here[s, r] = True
+    factor = mix(np.arange(last + 1, dtype=U), plan.seed) | U(1)
+    key = np.full((len(sampled), len(starts)), U(length))
+    at = np.repeat(starts[None, :], len(sampled), 0)
+    salt = mix(np.array(repetitions, U), 1000)[:, None]
+    for j in range(last + 1):
+        word = x[np.minimum(at, len(x) - 1)]
+        if here[j].any():
+            key[here[j]] += word[here[j]] * factor[j]
+        if j < last:
+            at += ((mix(word ^ salt, 2000 + j // 64) >> U(j % 64)) & U(1)).astype(np.int64) & (word != 0)
     return mix(key)
 
 
-class _Index:
-    """Keys of all anchors of a block of items."""
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """A hash for each word and the next; 0 where a text ends between them."""
+    out = mix(x[:-1], 70) ^ x[1:] * U(0x9FB21C651E98DF25)
+    out[(x[:-1] == 0) | (x[1:] == 0)] = 0
+    return out
 
-    def __init__(self, items: list[tuple[int, str]], plan: Plan) -> None:
-        self.plan = plan
-        self.items = [(i, w) for i, t in items if len(w := ALNUM.hash_all(t or ""))]
-        self.width = [next(w for w in WIDTHS if w <= len(x)) for _, x in self.items]
-        self.widths = sorted(set(self.width))
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for w in self.widths:
-            who = [k for k, x in enumerate(self.width) if x == w]
-            for r in range(plan.repetitions):
-                keys, item, anchor = [], [], []
-                for k in who:
-                    x = np.append(self.items[k][1], U(0))
-                    starts = np.unique(np.append(np.arange(0, len(x) - w, plan.anchor_step), len(x) - 1 - w))
-                    keys.append(_keys(x, starts, plan, r, [w])[w])
-                    item.append(np.full(len(starts), k))
-                    anchor.append(starts)
-                self.tables[w, r] = self._table(np.concatenate(keys), np.concatenate(item), np.concatenate(anchor))
-        parts: dict[int, list[tuple[np.ndarray, int, int]]] = {}
-        for k, (_, x) in enumerate(self.items):
-            if len(x) < SHORT:
-                cut = np.linspace(0, len(x), min(int(plan.max_edits * len(x)) + 1, len(x)) + 1).astype(int)
-                for a, n in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
-                    parts.setdefault(n, []).append((_runs(x, np.array([a]), n, plan.seed), k, a))
-        self.parts = {n: self._table(np.concatenate([p[0] for p in own]), *map(np.array, zip(*[p[1:] for p in own], strict=True))) for n, own in parts.items()}
-
-    @staticmethod
-    def _table(key: np.ndarray, item: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        seen = np.zeros(1 << 20, bool)
-        seen[key >> U(44)] = True
-        return key[order], item[order], anchor[order], seen
-
-    @staticmethod
-    def _met(table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], key: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        keys, item, anchor, seen = table
-        some = np.flatnonzero(seen[key >> U(44)])
-        left, right = np.searchsorted(keys, key[some], "left"), np.searchsorted(keys, key[some], "right")
+
+class _Table:
+    """Sorted keys with a value each, behind a bitmap that most keys fail."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.keys >> U(44)] = True
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = self.seen[keys >> U(44)]
+        some = np.flatnonzero(out)
+        out[some] = self.keys[np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)] == keys[some]
+        return out
+
+    def met(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``keys`` and the values found there."""
+        some = np.flatnonzero(self.seen[keys >> U(44)])
+        left, right = np.searchsorted(self.keys, keys[some], "left"), np.searchsorted(self.keys, keys[some], "right")
         n = right - left
         which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.stack([np.repeat(starts[some], n) - anchor[which], item[which]], 1)
-
-    def candidates(self, x: np.ndarray, chunk: int = 1 << 13) -> np.ndarray:
-        """Distinct rows (place where the item would begin, item). Chunks fit a processor's cache."""
-        found, reach = [], max([2 * self.widths[-1] + 1, *self.parts])
-        for lo in range(0, len(x), chunk):
-            starts = np.arange(lo, min(len(x), lo + chunk))
-            local = np.append(x[lo : lo + chunk + reach], U(0))
-            for r in range(self.plan.repetitions):
-                for w, key in _keys(local, starts - lo, self.plan, r, self.widths).items():
-                    found.append(self._met(self.tables[w, r], key, starts))
-            for n, table in self.parts.items():
-                found.append(self._met(table, _runs(local, starts - lo, n, self.plan.seed), starts))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return np.repeat(some, n), self.values[which]
+
+
+class Index:
+    """Windows, walks and keys for a block of items; ``repetitions`` by length, simulated if not given."""
+
+    def __init__(self, items: list[Item], plan: Plan, repetitions: dict[int, int] | None = None) -> None:
+        self.plan = plan
+        self.items = [(i, w) for i, t in items if len(w := ALNUM.hash_all(t or ""))]
+        self.lengths: dict[int, list[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            self.lengths.setdefault(len(w), []).append(k)
+        self.grams: dict[int, _Table] = {}
+        for n, own in self.lengths.items():
+            grams = np.unique(np.concatenate([self.items[k][1] if n == 1 else _pairs(self.items[k][1]) for k in own]))
+            self.grams[n] = _Table(grams, grams)
+        self.any_pair = _Table(every := np.unique(np.concatenate([np.zeros(1, U), *(t.keys for n, t in self.grams.items() if n > 1)])), every)
+        self.repetitions = repetitions if repetitions is not None else self._simulated()
+        self.tables: dict[int, list[_Table]] = {}
+        for n, own in self.lengths.items():
+            keys = self._item_keys(n, own, range(self.repetitions[n]))
+            self.tables[n] = [_Table(keys[r], np.array(own)) for r in range(self.repetitions[n])]
+
+    def _item_keys(self, length: int, own: list[int], repetitions: range) -> np.ndarray:
+        x = np.zeros((len(own), length + 1), U)
+        for r, k in enumerate(own):
+            x[r, :length] = self.items[k][1]
+        return _walks(x.ravel(), np.arange(len(own)) * (length + 1), self.plan, length, repetitions)
+
+    def _windows(self, x: np.ndarray, hits: np.ndarray, length: int) -> np.ndarray:
+        """Places where windows begin that hold enough of the length's word pairs, which stand at ``hits``."""
+        edits = self.plan.edits(length)
+        if length == 1:
+            return hits
+        need, wide = max(1, length - 1 - 2 * edits), length + edits - 1
+        if len(hits) < need:
+            return hits[:0]
+        first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
+        near = last - first < wide
+        lo, hi = np.maximum(last[near] - wide + 1, 0), first[near]
+        lo = np.maximum(lo, np.append(-1, hi[:-1]) + 1)
+        size = np.maximum(hi - lo + 1, 0)
+        starts = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return starts[x[starts] != 0]
+
+    def candidates(self, x: np.ndarray, tables: dict[int, list[_Table]] | None = None) -> list[np.ndarray]:
+        """Rows (place, item, repetition) for each length. x ends each text with a 0."""
+        out = []
+        pairs = _pairs(x)
+        pairs[pairs == 0] = 1  # no pair
+        some = np.flatnonzero(self.any_pair.holds(pairs))
+        for n, found in (tables or self.tables).items():
+            hits = np.flatnonzero(self.grams[n].holds(x)) if n == 1 else some[self.grams[n].holds(pairs[some])]
+            starts = self._windows(x, hits, n)
+            for lo in range(0, len(starts), 1 << 14):
+                part = starts[lo : lo + (1 << 14)]
+                keys = _walks(x, part, self.plan, n, range(len(found)))
+                for r, table in enumerate(found):
+                    at, item = table.met(keys[r])
+                    out.append(np.stack([part[at], item, np.full(len(at), r)], 1))
+        return out
+
+    def _simulated(self) -> dict[int, int]:
+        """Repetitions by length: as many as find the target share of copies with every allowed edit.
+
+        Lengths within an eighth share the count of the longest of them.
+        """
+        plan, out, last = self.plan, {}, 0
+        for n in sorted(self.lengths, reverse=True):
+            if plan.edits(n) == 0:
+                out[n] = 1
+                continue
+            if 8 * last <= 9 * n and last:
+                out[n] = out[last]
+                continue
+            rng, own = np.random.default_rng([plan.seed, n]), self.lengths[n]
+            keys = self._item_keys(n, own, range(plan.most_repetitions))
+            tables = {n: [_Table(keys[r], np.array(own)) for r in range(plan.most_repetitions)]}
+            parts, told, at = [], [], 0
+            for trial in range(plan.trials):
+                told.append(own[trial % len(own)])
+                around = rng.integers(1, 2**63, 2 * n + 2, dtype=U)
+                copy = edited(self.items[told[-1]][1], plan.edits(n), rng)
+                parts += [around[: n + 1], copy, around[n + 1 :], np.zeros(1, U)]
+            x = np.concatenate(parts)
+            ends = np.flatnonzero(x == 0)
+            first = np.full(plan.trials, plan.most_repetitions)
+            for place, item, r in np.concatenate(self.candidates(x, tables)).tolist():
+                trial = int(np.searchsorted(ends, place))
+                if told[trial] == item:
+                    first[trial] = min(first[trial], r)
+            found = np.cumsum(np.bincount(first, minlength=plan.most_repetitions + 1)) / plan.trials
+            out[n] = min(plan.most_repetitions, int(np.argmax(found >= min(plan.target_recall, found[plan.most_repetitions - 1]))) + 1)
+            last = n
+        return out
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """Words with so many of them replaced, deleted or followed by another."""
+    out = words.tolist()
+    for at in sorted(rng.permutation(len(words))[:edits].tolist(), reverse=True):
+        new = int(rng.integers(1, 2**63))
+        out[at : at + 1] = [[new], [], [out[at], new]][int(rng.integers(3))]
+    return np.array(out, U)
 
 
 def edit_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -163,70 +234,101 @@ def edit_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(first[end]), end
 
 
-def _matches(batch: pa.RecordBatch, index: _Index) -> Iterator[pa.RecordBatch]:
-    ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-    share, out = index.plan.max_edits, []
-    for rows, data, offsets in pieces(batch.column("text")) if index.items else ():
+def _found(column: pa.Array, index: Index) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+    """(row, item number, (edits, first word, last word)) of each item that a row's text holds."""
+    share, plan = index.plan.max_edits, index.plan
+    for rows, data, offsets in pieces(column) if index.items else ():
         h, _, bounds = words_of(ALNUM, data, offsets)
         n = len(bounds) - 1
         x = np.zeros(len(h) + n, U)  # a 0 after each text
         x[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(bounds))] = h
-        begin = bounds[:-1] + np.arange(n)
         end = bounds[1:] + np.arange(n)
-        hits = index.candidates(x)
-        if not len(hits):
+        begin = bounds[:-1] + np.arange(n)
+        hits = index.candidates(x) if len(h) else []
+        if not sum(map(len, hits)):
             continue
-        # A candidate's document is that of its window, which the anchor shifts by less than the item: clip to it below.
+        hits = np.unique(np.concatenate(hits)[:, :2], axis=0)
+        doc = np.searchsorted(end, hits[:, 0])
+        hits = hits[np.lexsort((hits[:, 0], hits[:, 1], doc))]
+        doc = np.searchsorted(end, hits[:, 0])
+        size = np.array([len(w) for _, w in index.items])[hits[:, 1]]
+        slack = 2 * (share * size).astype(np.int64) + 2
+        lo, hi = np.maximum(begin[doc], hits[:, 0] - slack), np.minimum(end[doc], hits[:, 0] + size + slack)
+        new = np.append(True, (doc[1:] != doc[:-1]) | (hits[1:, 1] != hits[:-1, 1]) | (lo[1:] > hi[:-1]))
+        first = np.flatnonzero(new)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for place, k in hits.tolist():
+        for d, k, a, b in zip(doc[first].tolist(), hits[first, 1].tolist(), lo[first].tolist(), np.maximum.reduceat(hi, first).tolist(), strict=True):
             words = index.items[k][1]
-            middle = min(max(place + min(len(words), index.width[k]) // 2, 0), len(x) - 1)
-            for doc in {int(np.searchsorted(end, max(place, 0), "left")), int(np.searchsorted(end, middle, "left")), int(np.searchsorted(end, min(place + len(words) - 1, len(x) - 1), "left"))}:
-                if doc >= n or begin[doc] == end[doc]:
-                    continue
-                if (doc, k) in best and best[doc, k][0] == 0:
-                    continue
-                slack = int(share * len(words)) + 1
-                lo, hi = max(begin[doc], place - slack), min(end[doc], place + len(words) + slack)
-                # Every item word that the stretch lacks is an edit.
-                if hi <= lo or len(words) - np.isin(words, x[lo:hi]).sum() > share * len(words):
-                    continue
-                if place >= lo and np.array_equal(x[place : place + len(words)], words):
-                    d, a, b = 0, place - lo, place - lo + len(words)
-                else:
-                    d, a, b = edit_within(words, x[lo:hi])
-                if d <= share * len(words):
-                    told = (d, int(lo - begin[doc] + a), int(lo - begin[doc] + b - 1))
-                    best[doc, k] = min(best.get((doc, k), told), told)
-        out += [(ids[rows.start + doc], index.items[k][0], *told) for (doc, k), told in sorted(best.items())]
-    if out:
-        cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "first_word", "last_word"])
+            # Every item word that the stretch lacks is an edit.
+            if best.get((d, k), (1,))[0] == 0 or len(words) - np.isin(words, x[a:b]).sum() > plan.edits(len(words)):
+                continue
+            cost, one, two = edit_within(words, x[a:b])
+            if cost <= plan.edits(len(words)):
+                told = (cost, int(a - begin[d] + one), int(a - begin[d] + two - 1))
+                best[d, k] = min(best.get((d, k), told), told)
+        for (d, k), told in sorted(best.items()):
+            yield rows.start + d, k, told
+
+
+def _blocks(benchmark: DataFrame, plan: Plan) -> Iterator[list[Item]]:
+    """The items in blocks of about ``block_bytes``; one at a time is on the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = -(-total // plan.block_bytes)
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
+    for block in range(blocks):
+        yield sorted(((r.item_id, r.text) for r in numbered.where(F.col("block") == block).collect()), key=lambda r: (r[0] is None, r))
+
+
+class _Held:
+    """An index that each Python worker builds once from what was broadcast; it keeps the last one."""
+
+    built: tuple[str, Index] | None = None
+
+    def __init__(self, spark: SparkSession, items: list[Item], plan: Plan) -> None:
+        self.name = uuid.uuid4().hex
+        self.held = spark.sparkContext.broadcast((items, plan, Index(items, plan).repetitions))
+
+    def index(self) -> Index:
+        if _Held.built is None or _Held.built[0] != self.name:
+            _Held.built = (self.name, Index(*self.held.value))
+        return _Held.built[1]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row for each document and item that it holds: least edits, first and last word of the best stretch."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.length("text") > 0)
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-items.count() // plan.block_items)))))
-    blocks = [r[0] for r in numbered.select("block").distinct().collect()]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], PAIR)
-    for block in sorted(blocks):
-        own = sorted((r.item_id, r.text) for r in numbered.where(F.col("block") == block).collect() if r.item_id is not None)
-        held = spark.sparkContext.broadcast((own, plan))
-        state: dict[str, _Index] = {}
+    for number, items in enumerate(_blocks(benchmark, plan)):
+        held = _Held(spark, items, plan)
+
+        def matches(batch: pa.RecordBatch, held=held) -> Iterator[pa.RecordBatch]:
+            index = held.index()
+            rows = [(r, index.items[k][0], *told) for r, k, told in _found(batch.column("text"), index)]
+            if rows:
+                who, *cols = zip(*rows, strict=True)
+                ids = batch.column("doc_id").take(pa.array(who, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "item_id", "distance", "first_word", "last_word"])
+
+        found = map_rows(texts, matches, PAIR)
+        out = out.unionByName(found) if number else found
+    return out
 
-        def over(batch: pa.RecordBatch, held=held, state=state) -> Iterator[pa.RecordBatch]:
-            if "index" not in state:
-                state["index"] = _Index(*held.value)
-            return _matches(batch, state["index"])
 
-        out = out.unionByName(map_rows(texts, over, PAIR)) if len(blocks) > 1 else map_rows(texts, over, PAIR)
-    return out
+def _holds(held: _Held, text: Column) -> Column:
+    @F.arrow_udf(T.BooleanType())
+    def any_item(texts: pa.Array) -> pa.Array:
+        flags = np.zeros(len(texts), bool)
+        for row, _, _ in _found(texts, held.index()):
+            flags[row] = True
+        return pa.array(flags)
+
+    return any_item(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The documents that hold no item; documents without an id stay."""
-    bad = contaminated(docs, benchmark, plan).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+    """The rows whose text holds no item; decided row by row, so ids play no part and nothing is shuffled."""
+    for items in _blocks(benchmark, plan):
+        docs = docs.where(~_holds(_Held(docs.sparkSession, items, plan), F.col("text").cast("string")))
+    return docs
