@@ -9,14 +9,20 @@ matches when it holds at least ``threshold`` of the template's distinct tokens.
 * length filter: a block with fewer words than needed is passed over;
 * positional filter: counting stops once too many tokens in the order have been missed.
 
+Two licenses may share nearly all words. Where the whole text of another label's template would match a
+template too, its match also needs the same share of the tokens that tell it from the other; a template
+without such tokens needs its own, by the median, more often in the block than those that tell the other.
+
 Besides, the places of the base phrases are found by their consecutive words.
 
-Defined results: null counts as empty (no words, score 0, empty labels); repeated rows give a row each.
+Defined results: null counts as empty (no words, score 0, empty labels); repeated rows and rows without an
+id give a row each; an empty table gives none; very long texts are read whole; other columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +112,13 @@ class _Join:
             self.templates.append((label, len(hashes), tokens, need))
             for t in tokens[: len(tokens) - need + 1]:
                 prefixes.setdefault(t, []).append(len(self.templates) - 1)
+        # For each template: tokens that tell it from a like one of another label, and how many must be there; or the other's, for it to outnumber.
+        self.telling: list[list[tuple[list[int], int]]] = [[] for _ in self.templates]
+        for k, (label, _, tokens, need) in enumerate(self.templates):
+            for other, _, theirs, _ in self.templates:
+                if other != label and len(set(tokens) & set(theirs)) >= need:
+                    own = sorted(set(tokens) - set(theirs))
+                    self.telling[k].append((own, max(1, math.ceil(round(threshold * len(own), 9)))) if own else (sorted(set(theirs) - set(tokens)), 0))
         self.prefixes = prefixes
         self.first = np.zeros(len(vocabulary), bool)
         self.first[list(prefixes)] = True
@@ -123,7 +136,7 @@ class _Join:
                     if (k, b) in seen or hi - lo < need or not lo <= p < hi:
                         continue
                     seen.add((k, b))
-                    block = set(which[np.searchsorted(at, lo) : np.searchsorted(at, hi)].tolist())
+                    block = Counter(which[np.searchsorted(at, lo) : np.searchsorted(at, hi)].tolist())
                     if len(block) < need:
                         continue
                     may_miss, held = len(tokens) - need, 0
@@ -132,9 +145,15 @@ class _Join:
                         if i + 1 - held > may_miss:
                             break
                     else:
-                        best[label] = max(best.get(label, 0.0), held / len(tokens))
+                        if self._told(k, block):
+                            best[label] = max(best.get(label, 0.0), held / len(tokens))
         return best
 
+    def _told(self, k: int, block: Counter[int]) -> bool:
+        """Whether the block is this template's rather than that of a like one."""
+        usual = sorted(block[t] for t in self.templates[k][2])[len(self.templates[k][2]) // 2]
+        return all(sum(t in block for t in tokens) >= need if need else usual > min(block[t] for t in tokens) for tokens, need in self.telling[k])
+
     def __call__(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").cast(pa.int64())
         for rows, data, offsets in pieces(batch.column("text")):
