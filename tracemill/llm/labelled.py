@@ -9,10 +9,13 @@ from .language import fold_of
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """``key, label, text`` of at most ``bound`` labelled ids outside fold 2, those with the least hash.
+    """``key, label, text`` of at most ``bound`` labelled ids outside fold 2, those with the least hash; a row for each id.
 
-    Ids with null labels are left out; if an id has several labels, the largest holds.
+    Ids with null labels and null ids are left out; if an id has several labels, the largest holds, if it has
+    several texts, the least. Other columns of either table play no part.
     """
-    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 2)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("label"))
-    some = F.broadcast(ids.orderBy(F.xxhash64("_id"), "_id").limit(bound))  # at most ``bound`` rows of 12 bytes
-    return docs.join(some, docs["doc_id"].cast("long") == some["_id"]).select(F.xxhash64("_id").alias("key"), "label", F.col("text").cast("string").alias("text"))
+    own = labels.select(F.col("doc_id").cast("long").alias("id"), (fold_of(F.col("doc_id")) != 2).alias("taught"), F.col(label).cast("int").alias("label"))
+    ids = own.where("taught AND id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
+    some = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(bound))  # at most ``bound`` rows of 12 bytes
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.join(some, "id").groupBy("id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("key"), "label", "text")

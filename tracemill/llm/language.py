@@ -8,7 +8,9 @@ The distance sums, over a document's ``depth`` most frequent n-grams, how far ea
 (with one profile: the closeness itself).
 
 Defined results: null text or no letter gives ``und`` with score 0, as does an empty training set; rows
-with null lang or null id teach nothing; repeated rows count as often as they stand there.
+with null lang or null id teach nothing, and ``held_out`` is false for a null id; repeated rows count as often
+as they stand there and get a row each; an empty table gives none; very long texts are counted whole; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -81,6 +83,11 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a row is held out; a row without an id is not, but nothing learns from it either."""
+    return F.coalesce(fold_of(doc_id) == 2, F.lit(False))
+
+
 def learn_profiles(docs: DataFrame, depth: int = 400, slices: int = 64) -> dict[str, np.ndarray]:
     """Ranked n-grams of each language over all training rows. What reaches the driver is bounded by languages x slices x depth."""
     rows = docs.where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -142,7 +149,7 @@ def identify(docs: DataFrame, depth: int = 400) -> DataFrame:
         told = [state["p"](t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id")) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_rows(rows, predict, OUT)
 
 

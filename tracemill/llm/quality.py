@@ -11,7 +11,9 @@ A network of one hidden layer is trained in numpy on the bounded sample of label
 calibrates the temperature that the logit is divided by.
 
 Defined results: null text counts as empty; without labels of both kinds the score is the share of label 1,
-0.5 where there are none.
+0.5 where there are none. Rows without an id teach no label and are not ``held_out``; repeated rows count in the
+vectors as often as they stand there and get a row each; an empty table gives none; very long texts are read
+whole; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .language import fold_of
+from .language import held_out
 from .words import PIECE, SPACED, U, Alphabet, map_rows, mix, pieces, words_of
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
-BUCKETS, DIMENSIONS, SLICES = 1 << 13, 24, 64
+BUCKETS, DIMENSIONS, SLICES, GROUPS = 1 << 13, 24, 64, 1024
 
 _LINES = Alphabet({10, 13}, fold=False)
 _KIND = np.arange(256, dtype=np.int64)
@@ -94,19 +97,22 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                                 total += np.bincount(x * DIMENSIONS + place[k][y], sign[k][y], size)
                         some = True
         if some:
-            held = total.astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([held[s * step : (s + 1) * step].astype(np.float32).tobytes() for s in range(SLICES)], pa.binary())], ["slice", "sums"])
+            group = TaskContext.get().partitionId() % GROUPS
+            held = total.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([group] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([held[s * step : (s + 1) * step].tobytes() for s in range(SLICES)], pa.binary())], ["part", "slice", "sums"])
 
     def merge(table: pa.Table) -> pa.Table:
-        total = np.zeros(step)
+        total = np.zeros(step, np.int64)
         for x in table.column("sums"):
-            total += np.frombuffer(x.as_buffer(), np.float32)
+            total += np.frombuffer(x.as_buffer(), np.int64)
         return pa.table({"slice": table.column("slice").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(size)
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(add, "slice int, sums binary").groupBy("slice").applyInArrow(merge, "slice int, sums binary")
-    for r in sums.collect():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["sums"])
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(add, "part int, slice int, sums binary")
+    # Two levels, so that no worker holds the sums of more than a part of all tasks.
+    once = sums.groupBy("slice", "part").applyInArrow(merge, "slice int, sums binary")
+    for r in once.groupBy("slice").applyInArrow(merge, "slice int, sums binary").collect():
+        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["sums"], np.int64)
     out = out.reshape(2 * BUCKETS, DIMENSIONS)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -194,5 +200,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = 12_000, thres
         score = np.concatenate([model.value(x) if model.value else np.full(len(x), share) for x in features(batch.column("text"), held.value)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id")) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_rows(rows, make, OUT)

@@ -15,7 +15,9 @@ into one weight for each subsequence, so a unit's value needs no kernel evaluati
 A document's value is that of its highest unit (of long units, of the highest stretch of 12 letters); a
 logistic curve fitted on the sample turns it into the score.
 
-Defined results: null or letterless text, and everything where no toxic example was learned, scores 0.
+Defined results: null or letterless text, and everything where no toxic example was learned, scores 0. Rows
+without an id teach nothing and are not ``held_out``; repeated rows get a row each and their sentences count
+once; an empty table gives none; very long texts are read whole; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .language import fold_of
+from .language import held_out
 from .words import map_rows, settle
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
@@ -339,5 +341,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 12_000, thre
             score = held.value.scores(texts) if held.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id")) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_rows(rows, make, OUT)
