@@ -31,9 +31,16 @@ def plain_dedup(rows):
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup_with_colliding_digests(spark, tmp_path, weak):
     path = str(tmp_path / "docs.parquet")
-    spark.createDataFrame([(d, t, 0) for d, t in ROWS], "doc_id long, text string, kept int").repartition(3).write.parquet(path)
+    spark.createDataFrame([(d, t, 0, "x", "y") for d, t in ROWS], "doc_id long, text string, kept int, digest string, file string").repartition(3).write.parquet(path)
+    path += "" if weak else "/"
     digest = (lambda t: (F.crc32(t.cast("binary")) % 2).cast("string").cast("binary")) if weak else dedup.sha256
-    assert sorted(map(tuple, dedup.exact_duplicates(spark, path, digest).collect()), key=repr) == plain_dedup(ROWS)
+    for part in (1000, 1):
+        assert sorted(map(tuple, dedup.exact_duplicates(spark, path, digest, part).collect()), key=repr) == plain_dedup(ROWS)
+
+
+def test_a_pattern_is_refused(spark):
+    with pytest.raises(ValueError, match="pattern"):
+        dedup.exact_duplicates(spark, "/tmp/a*/b")
 
 
 def test_stream_goes_on_with_its_state(spark, tmp_path):
