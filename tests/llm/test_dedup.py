@@ -15,7 +15,7 @@ from tracemill.llm.queries import ORACLE, QUERIES
 ROWS = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "é" * 100_000), (6, "é" * 100_000), (7, "b"), (7, "b"), (None, "a"), (8, "a ")]
 
 
-@pytest.mark.parametrize("name", ["op5_exact_dedup", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard_join", "op5_exact_dedup", "op8_line_dedup"])
 def test_query_equals_its_sql(spark, name):
     assert_same(QUERIES[name](spark, SMALL), ORACLE[name])
 

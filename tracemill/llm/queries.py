@@ -35,6 +35,9 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(_documents(spark, sf_dir))
 
 
+ORACLE["op3_ngram_jaccard_join"] = shingles.SQL
+
+
 @_query
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip(_documents(spark, sf_dir))

@@ -647,3 +647,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
         key = F.col("_row")
     told = near_duplicates(rows.select(key.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
     return rows.join(told, key == F.col("_id"), "left_semi").select(*docs.columns).unionByName(docs.where(own.isNull()))
+
+
+SQL = r"""WITH RECURSIVE word AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM word WHERE len(w) > 0)),
+  size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+  pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
