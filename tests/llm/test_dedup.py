@@ -134,6 +134,25 @@ def test_pieces_are_drawn_in_proportion():
     assert all(abs(drawn[p] / n - w / total) < 0.015 for p, w in paths.items())
 
 
+def test_long_segments_are_one_lattice(monkeypatch):
+    sampler = subwords.Sampler(subwords.Vocabulary.load())
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdefgh日本語 é🎉\n▁", k=rng.randrange(1, 40))) for _ in range(200)] + ["internationalization " * 3, "https://example.org/some/path?of=words"]
+    keys = np.arange(len(texts))
+    want = [x.tolist() for x in sampler.encode(texts, keys)]
+    monkeypatch.setattr(subwords, "LONGEST_SEGMENT", 1)
+    assert [x.tolist() for x in sampler.encode(texts, keys)] == want
+    monkeypatch.undo()
+    whole = "internationalization" * 30  # without a space: pieces lie across any cut
+    drawn = [sampler.encode([whole], np.array([k]))[0].tolist() for k in range(40)]
+    ends = {int(e) for ids in drawn for e in np.cumsum([len(sampler.bytes[i]) for i in ids])}
+    assert all(sampler.decode(np.array(ids)).decode() == whole for ids in drawn) and len(ends) > 100
+    inside = [49 not in np.cumsum([len(sampler.bytes[i]) for i in ids]).tolist() for ids in drawn]
+    assert any(inside)
+    monkeypatch.setattr(subwords, "_BLOCK", 64)
+    assert sampler.encode([whole, whole + " a b" * 100], np.array([0, 1]))[0].tolist() == drawn[0]
+
+
 def test_agrees_with_the_tokenizer_library():
     vocabulary = subwords.Vocabulary.load()
     import sentencepiece

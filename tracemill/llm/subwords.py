@@ -1,18 +1,18 @@
 """SentencePiece encoding and decoding (4): sampled segmentations by forward filtering, backward sampling.
 
 A public vocabulary file gives the pieces. A text gets one space in front, spaces become U+2581, and it is
-cut into segments: before each space and around each line feed, and after 48 characters. Within a segment
-every way to write it in pieces is a path through a lattice. A path's weight is the product of its pieces'
+cut into segments: before each space and around each line feed. Within a segment, however long, every way to write it in pieces is a path through a lattice. A path's weight is the product of its pieces'
 weights, 1 / (rank + 10) in the vocabulary's order, raised to ``sharpness``; a character that is no piece
 is written in byte pieces, and so is a literal U+2581. The forward pass sums the weights of all paths to
 each place; the backward pass draws pieces from the end in proportion. Each draw comes from a hash of seed,
 row id and place, so a row's segmentation depends on nothing else. Decoding joins the pieces' bytes and is
 lossless for every text.
 
-Both passes run over all distinct segments of a block at once, place by place, on numpy arrays.
+Both passes run over all distinct segments of a block at once, place by place, on numpy arrays; segments of
+over 48 characters (text without spaces) go one by one, by the same rule.
 
 Defined results: null text gives null ids; an empty text is the one piece U+2581; rows that share id and
-text are written alike; a null id counts as one fixed id.
+text are written alike; a null id counts as one fixed id; an empty table gives none; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .words import U, map_rows, mix, row_key
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST_SEGMENT = 48
+LONGEST_SEGMENT = 48  # of those that go together
 _SPACE, _LITERAL, _LF = 0x2581, 0x110000, 10
 _BLOCK = 1 << 18
 
@@ -86,7 +86,7 @@ class _Trie:
                 nodes.setdefault(h, len(nodes))
                 if len(vocabulary.pieces[i]) == k + 1:
                     last[h] = (i, (i + 10.0) ** -sharpness)
-        self.longest, self.bits = min(longest, LONGEST_SEGMENT), max(10, math.ceil(math.log2(4 * len(nodes) + 1)))
+        self.longest, self.bits = longest, max(10, math.ceil(math.log2(4 * len(nodes) + 1)))
         size = 1 << self.bits
         self.key, self.piece, self.weight = np.zeros(size, U), np.full(size, -1, np.int32), np.zeros(size)
         for h in nodes:
@@ -140,11 +140,14 @@ class Sampler:
 
     @staticmethod
     def _blocks(points: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Cuts a long text before a space (or line feed), at a multiple of the longest segment if there is none near."""
+        """Cuts a long text before a space or line feed: the last one of a block, or the next one after it."""
         lo, n = 0, len(points)
+        edge = np.flatnonzero((points == 32) | (points == _LF)) if n > _BLOCK else points[:0]
         while n - lo > _BLOCK:
-            near = np.flatnonzero((points[lo + _BLOCK - 8192 : lo + _BLOCK] == 32) | (points[lo + _BLOCK - 8192 : lo + _BLOCK] == _LF))
-            hi = lo + _BLOCK - 8192 + int(near[-1]) if len(near) else lo + _BLOCK // LONGEST_SEGMENT * LONGEST_SEGMENT
+            at = int(np.searchsorted(edge, lo + _BLOCK))
+            hi = int(edge[at - 1]) if at and edge[at - 1] > lo else int(edge[at]) if at < len(edge) else n
+            if hi == n:
+                break
             yield lo, hi
             lo = hi
         yield lo, n
@@ -158,30 +161,100 @@ class Sampler:
         begin |= (points == 32) | (points == _LF)
         begin[1:] |= points[:-1] == _LF
         starts = np.flatnonzero(begin)
-        long = np.flatnonzero(np.diff(np.append(starts, len(points))) > LONGEST_SEGMENT)
-        if len(long):
-            stop = np.append(starts, len(points))
-            starts = np.unique(np.concatenate([starts, *(np.arange(stop[k], stop[k + 1], LONGEST_SEGMENT) for k in long)]))
         lengths = np.diff(np.append(starts, len(points)))
         chars = points.astype(np.int64)
         chars[points == _SPACE] = _LITERAL
         chars[points == 32] = _SPACE
-        # Equal segments share a lattice.
-        symbol = mix(chars.astype(U), 3)
-        position = np.arange(len(points)) - np.repeat(starts, lengths)
-        code = np.add.reduceat(mix(symbol + position.astype(U) * U(0x9E3779B97F4A7C15), 8), starts)
-        _, first, which = np.unique(code, return_index=True, return_inverse=True)
-        order = np.argsort(-lengths[first], kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        which = rank[which]
-        ids, counts = self._sample(chars, starts[first][order], lengths[first][order], which, lengths, *self._keys(held, sizes, starts, keys))
+        key, place = self._keys(held, sizes, starts, keys)
+        short = lengths <= LONGEST_SEGMENT
+        counts, parts = np.zeros(len(starts), np.int64), {}
+        for k in np.flatnonzero(~short).tolist():
+            parts[k] = self._sample_long(chars[starts[k] : starts[k] + lengths[k]], key[k], place[k])
+            counts[k] = len(parts[k])
+        some, counts[short] = self._sample_short(chars, starts[short], lengths[short], key[short], place[short])
+        first = np.cumsum(counts) - counts
+        ids = np.empty(int(counts.sum()), np.int64)
+        many = counts[short]
+        ids[np.repeat(first[short] - (np.cumsum(many) - many), many) + np.arange(len(some))] = some
+        for k, part in parts.items():
+            ids[first[k] : first[k] + len(part)] = part
         # Pieces of each block of a row.
         block = np.searchsorted(ends, starts, "right")
         bounds = np.append(0, np.cumsum(np.bincount(block, counts, len(held)).astype(np.int64)))
         for k, (row, _, _) in enumerate(held):
             out[row].append(self._spelled(ids[bounds[k] : bounds[k + 1]]))
 
+    def _sample_short(self, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all segments and how many each has. Equal segments share a lattice."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbol = mix(chars[np.repeat(starts, lengths) + position].astype(U), 3)
+        code = np.add.reduceat(mix(symbol + position.astype(U) * U(0x9E3779B97F4A7C15), 8), np.cumsum(lengths) - lengths)
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        order = np.argsort(-lengths[first], kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return self._sample(chars, starts[first][order], lengths[first][order], rank[which], lengths, key, place)
+
+    def _sample_long(self, chars: np.ndarray, key: np.uint64, place: int) -> np.ndarray:
+        """The pieces of one segment: the rule of ``_sample``, place after place."""
+        t, n = self.trie, len(chars)
+        symbol = t.symbol[chars]
+        ends, sizes, pieces, weights = [], [], [], []
+        who, state, lone = np.arange(n), np.zeros(n, U), np.ones(n, bool)
+        for k in range(1, t.longest + 1):
+            inside = who + k <= n
+            who, state = who[inside], state[inside]
+            state = t.step(state, symbol[who + k - 1])
+            slot = t.find(state)
+            ok = (slot >= 0) & (symbol[who + k - 1] != 0)
+            who, state, slot = who[ok], state[ok], slot[ok]
+            real = t.piece[slot] >= 0
+            if k == 1:
+                lone[who[real]] = False
+            ends.append(who[real] + k)
+            sizes.append(np.full(int(real.sum()), k))
+            pieces.append(t.piece[slot[real]])
+            weights.append(t.weight[slot[real]])
+            if not len(who):
+                break
+        odd = np.flatnonzero(lone)
+        ends.append(odd + 1)
+        sizes.append(np.ones(len(odd), np.int64))
+        pieces.append(len(self.vocabulary.pieces) + chars[odd])
+        weights.append(np.full(len(odd), self.unknown))
+        end, size, piece, weight = map(np.concatenate, (ends, sizes, pieces, weights))
+        order = np.lexsort((size, end))
+        size, piece, weight = size[order], piece[order], weight[order]
+        bounds = np.searchsorted(end[order], np.arange(n + 2))
+        share, total = np.empty(len(size)), [1.0]
+        for lo in range(1, n + 1, _BLOCK):
+            hi = min(lo + _BLOCK, n + 1)
+            a = int(bounds[lo])
+            span, w, edge = size[a : bounds[hi]].tolist(), weight[a : bounds[hi]].tolist(), (bounds[lo : hi + 1] - a).tolist()
+            for e in range(lo, hi):
+                sums, first, last = 0.0, edge[e - lo], edge[e - lo + 1]
+                for m in range(first, last):
+                    sums += w[m] * total[e - span[m]]
+                    w[m] = sums
+                for m in range(first, last):
+                    w[m] /= sums
+                total.append(sums)
+                if sums < 1e-200:  # only ratios among the last places count
+                    for back in range(max(0, e - t.longest), e + 1):
+                        total[back] *= 1e200
+            share[a : bounds[hi]] = w
+        at = np.arange(n + 1).astype(U)
+        draws = (mix(key + (U(place) + at) * U(0xD6E8FEB86659FD93), self.seed) >> U(11)).astype(np.float64) * 2.0**-53
+        out, e = [], n
+        while e > 0:
+            a, b = int(bounds[e]), int(bounds[e + 1])
+            m = min(a + int(np.searchsorted(share[a:b], draws[e], "right")), b - 1)
+            out.append(int(piece[m]))
+            e -= int(size[m])
+        return np.array(out[::-1], np.int64)
+
     def _keys(self, held: list[tuple[int, int, np.ndarray]], sizes: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each segment, its row's key and its place in the row."""
         ends = np.cumsum(sizes)
@@ -196,7 +269,7 @@ class Sampler:
         alive = [int(np.searchsorted(-lengths, -k, "right")) for k in range(deepest + 2)]  # with at least k characters
         column = [chars[starts[: alive[k + 1]] + k] for k in range(deepest)]
         symbol = [t.symbol[c] for c in column]
-        L = t.longest
+        L = min(t.longest, LONGEST_SEGMENT)
         weight = [np.zeros((L, alive[k])) for k in range(1, deepest + 1)]  # by end: of the piece of each length that ends there
         piece = [np.full((L, alive[k]), -1, np.int32) for k in range(1, deepest + 1)]
         for k in range(deepest):
