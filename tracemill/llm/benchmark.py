@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import ALNUM, U, map_rows, mix, pieces, words_of
+from .words import ALNUM, U, map_rows, mix, pieces, release, words_of
 
 PAIR = "doc_id long, item_id long, distance int, first_word long, last_word long"
 Item = tuple[int | None, str]
@@ -87,23 +87,25 @@ def _pairs(x: np.ndarray) -> np.ndarray:
 
 
 class _Table:
-    """Sorted keys with a value each, behind a bitmap that most keys fail."""
+    """Sorted keys with a value each, behind a table of flags, 16 for a key or more, that most keys fail."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.keys >> U(44)] = True
+        bits = min(22, max(6, (16 * len(keys)).bit_length()))
+        self.shift = U(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[self.keys >> self.shift] = True
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        out = self.seen[keys >> U(44)]
+        out = self.seen[keys >> self.shift]
         some = np.flatnonzero(out)
         out[some] = self.keys[np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)] == keys[some]
         return out
 
     def met(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``keys`` and the values found there."""
-        some = np.flatnonzero(self.seen[keys >> U(44)])
+        some = np.flatnonzero(self.seen[keys >> self.shift])
         left, right = np.searchsorted(self.keys, keys[some], "left"), np.searchsorted(self.keys, keys[some], "right")
         n = right - left
         which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -322,6 +324,7 @@ def _holds(held: _Held, text: Column) -> Column:
         flags = np.zeros(len(texts), bool)
         for row, _, _ in _found(texts, held.index()):
             flags[row] = True
+        release()
         return pa.array(flags)
 
     return any_item(text)

@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, U, discard, map_rows, mix, pieces, settle, sized, words_of
+from .words import SPACED, U, discard, map_rows, mix, pieces, release, settle, sized, words_of
 
 WORDS = 5
 BLOCK = 192  # classes in a block of a prefix-tree join, about
 CELL = 4096  # classes whose signatures meet in a task, about
 LIGHT = 64  # classes under a prefix shingle that meet pair by pair; above, by cells
-PACK = 1_500_000  # shingles that a task holds before it sends them, about
+PACK = 750_000  # shingles that a task holds before it sends them, about
 BUCKET = 2_000_000  # packed shingles in a bucket, about
 
 
@@ -221,6 +221,7 @@ def shared_counts(df: DataFrame, read, half: bool, total: int) -> DataFrame:
                     seen.clear()
         if tokens:
             yield from _packed(tokens, classes, tags, bits, int(half))
+        release()
 
     counted = df.mapInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(_shared, _COUNTED)
     return counted.groupBy("pack").applyInArrow(_by_class, "c long, shared long").groupBy("c").agg(F.max("shared").alias("shared"))
@@ -387,15 +388,21 @@ def components(edges: DataFrame) -> DataFrame:
 # -- Step 5
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about half a pack."""
+    size = np.cumsum(batch.column("n").to_numpy(zero_copy_only=False)) // (PACK // 2)
+    edge = np.flatnonzero(np.diff(size, prepend=-1))
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
 def _ranked(left: DataFrame, total: int) -> DataFrame:
     """``c, tag, n, parts``: each class's shingles that stand under two tags, with the number of tags, by bucket."""
     bits = _bits(total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             c, tag, n, sets = (batch.column(k).to_pylist() for k in ("c", "tag", "n", "tokens"))
-            if not c:
-                continue
             x = np.concatenate([np.frombuffer(t, U) for t in sets])
             owner = np.repeat(np.arange(len(c)), n)
             bucket = (x >> U(64 - bits)).astype(np.int64)
@@ -406,6 +413,7 @@ def _ranked(left: DataFrame, total: int) -> DataFrame:
             who = at[first] % len(c)
             cols = [(at[first] // len(c)).tolist(), *([v[w] for w in who.tolist()] for v in (c, tag, n)), [held[8 * a : 8 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int32(), *[pa.int64()] * 3, pa.binary()), strict=True)], ["bucket", "c", "tag", "n", "tokens"])
+        release()
 
     def rank(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(t, U) for t in table.column("tokens").to_pylist()]
@@ -611,8 +619,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tagged = held.select("c", "n", "tokens").join(sized(roots).withColumnRenamed("root", "tag"), "c")
 
     def from_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        for c, tag, t in zip(*(batch.column(k).to_pylist() for k in ("c", "tag", "tokens")), strict=True):
-            yield c, tag, np.frombuffer(t, U)
+        for c, tag, t in zip(batch.column("c").to_pylist(), batch.column("tag").to_pylist(), batch.column("tokens"), strict=True):
+            yield c, tag, np.frombuffer(t.as_buffer(), U)
 
     again = sized(shared_counts(tagged.select("c", "tag", "tokens"), from_sets, False, int(held.agg(F.sum("n")).first()[0] or 0)))
     left = settle(tagged.join(again, "c").where(F.col("shared") >= F.col("n") - F.floor(F.col("n") / 4)).select("c", "tag", "n", "tokens"), held, again)

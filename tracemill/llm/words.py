@@ -9,6 +9,7 @@ equal words.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -122,7 +123,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, limit: int = 4 * PIECE) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Runs of rows of at most ``limit`` bytes (one row at least), with their bytes and offsets."""
     data, offsets = buffers(column)
     lo, n = 0, len(offsets) - 1
@@ -139,12 +140,20 @@ def words_of(alphabet: Alphabet, data: np.ndarray, offsets: np.ndarray) -> tuple
     return h, at, np.searchsorted(at, offsets)
 
 
+def release() -> None:
+    """Gives memory that is free back to the machine: a Python worker outlives its task and waits for the next beside others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``make`` over each Arrow batch."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from make(b)
+        release()
 
     return df.mapInArrow(over, schema)
 
