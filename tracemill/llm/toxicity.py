@@ -37,7 +37,7 @@ from .words import map_rows, settle
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 DECAY = 0.6
-STRETCH = 12
+STRETCH, LONGEST = 12, 24
 SHORTEST = 5  # shorter units are scaled as if they had so many letters
 PATTERNS = tuple((0, *inner, last) for n, span in ((3, 5), (4, 6)) for last in range(n - 1, span) for inner in combinations(range(1, last), n - 2))
 SIZE = (1 << 15) + (1 << 20)
@@ -254,7 +254,7 @@ def _unit_counts(sentences: DataFrame) -> DataFrame:
 
 
 def spelled(text: str) -> set[str]:
-    """The units of a text of 3 to 24 letters, as words."""
+    """The units of a text, as words; of longer ones than ``LONGEST``, stretches of that length that overlap by half."""
     out, run = [], []
     for word in text.lower().split():
         unit = "".join(filter(str.isalpha, word))
@@ -267,7 +267,8 @@ def spelled(text: str) -> set[str]:
             out.append(unit)
     if run:
         out.append("".join(run))
-    return {u for u in out if 3 <= len(u) <= 24}
+    half = LONGEST // 2
+    return {u[k : k + LONGEST] for u in out for k in range(0, max(len(u) - half, 1), half)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most_positive: int = 1500, most_negative: int = 12_000, hard: int = 3000) -> Machine | None:
@@ -312,7 +313,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 12_000, most_positive
             v = last.values([t or "" for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(np.maximum(v, -1e3))], ["label", "v"])
 
-    told = map_rows(sample.select("label", "text"), valued, "label int, v double").orderBy("label", "v").toPandas()
+    told = map_rows(sample.select("label", "text"), valued, "label int, v double").toPandas().sort_values(["label", "v"])  # at most ``bound`` rows
     machine.curve = _curve(told.v.to_numpy(), told.label.to_numpy())
     return machine
 
