@@ -5,11 +5,12 @@ from collections import defaultdict
 
 import numpy as np
 from oracle import SMALL
+from pyspark.sql import functions as F
 from test_shingles import brute_force
 
 import __spark_entry__
 import corpus_pipeline
-from tracemill.llm import benchmark, lines
+from tracemill.llm import benchmark, lines, words
 from tracemill.llm.words import ALNUM
 
 
@@ -55,6 +56,29 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, empty, SMALL).count() == 0
 
 
+def test_odd_rows_and_clashing_names(spark, tmp_path):
+    passage = " ".join(f"item{i}" for i in range(20))
+    body, long = (" ".join(f"{w}{i % 97}x{i % 13}" for i in range(n)) for w, n in (("word", 400), ("long", 60_000)))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "just letters"), (4, "just letters"), (5, body), (6, body + " more"), (None, body), (None, "some text of nobody"), (7, f"a {passage} b"), (None, f"c {passage}"), (8, long), (9, "12 34"), (10, "menu\nown words of ten"), *((20 + i, f"menu\nletters number {chr(97 + i)} of a page") for i in range(12))]
+    docs = spark.createDataFrame([(d, t, "en", f"s{d}", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["gone", "n_lines", "n_removed", "number", "chosen", "c", "n", "key", "_id", "_row", "block", "held_out", "h", "pos"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (None, "item1"), (3, None)], "item_id long, text string").where("item_id IS NOT NULL").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, str(tmp_path))
+        assert out.dtypes == docs.dtypes
+        kept = words.settle(out)
+        assert all(r[name] == f"own {name}" for r in kept.collect() for name in names)
+    told = sorted(((r.doc_id, r.text, r.n_chars) for r in kept.collect()), key=repr)
+    want = [(4, "just letters"), (5, body), (None, body), (None, "some text of nobody"), (8, long), (10, "own words of ten"), *((20 + i, f"letters number {chr(97 + i)} of a page") for i in range(12))]
+    assert [t[:2] for t in told] == sorted(want, key=repr) and all(n == len(t) for _, t, n in told)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in out), key=repr) == [t[0] for t in told] and all(r.lossless for r in out)
+
+
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {f"{x.split('_')[0]}_" for x in names} and "pipeline" in names

@@ -153,6 +153,14 @@ def test_marks_change_no_span(seed):
         assert [s for s in scanner.spans(text) if s[1] == k] == want
 
 
+def test_secret_edges(spark):
+    rows = [(1, "password = hunter2hunter2"), (1, "password = hunter2hunter2"), (None, "AKIA" + "Z" * 16), (3, None), (4, ""), (5, "é" * 400_000 + " token:abcdefgh12")]
+    df = spark.createDataFrame([(*r, "own", 7) for r in rows], "doc_id long, text string, spans string, n_hex int")
+    got = sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.spans) for r in secrets.scan_secrets(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 0, 0, "assign:0:25"), (1, 1, 0, 0, "assign:0:25"), (None, 0, 1, 0, "access:0:20"), (3, 0, 0, 0, ""), (4, 0, 0, 0, ""), (5, 1, 0, 0, "assign:400001:400017")], key=repr)
+    assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
 def test_automaton_is_minimal():
     a = secrets.compile_patterns(("ab|cb",), False)
     assert len(a.rows) == 3 and secrets.Scanner._longest(a, b"cbx", 0) == 2

@@ -120,6 +120,16 @@ def test_tree_join_equals_all_pairs():
         assert all(find(i) == find(j) for i, j in alike)
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    near = words[:]
+    for _ in range(1000):
+        near[rng.randrange(len(near))] = "zz"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:60_000])), (4, "x" * 3_000_000), (5, "x" * 3_000_000 + " y"), (6, "a b c d e f " * 50_000), (7, "a b c d e f " * 49_000)]
+    assert run(spark, rows) == brute_force(rows)
+
+
 def test_hot_shingles_without_links(spark, monkeypatch):
     """A passage that stands in most rows and makes up most of them, so that its shingles are hot and most pairs fall just short."""
     for name, value in {"BLOCK": 8, "LIGHT": 5, "CELL": 16}.items():

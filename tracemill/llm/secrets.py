@@ -8,7 +8,8 @@ these, spans that miss the rule's length are dropped after they were consumed. A
 automaton to the end, however far; it leaves marks where nothing more was accepted, and later attempts that
 come to a mark in the same state stop there, so that failing attempts over one run stay cheap.
 
-Defined results: null counts as empty (no spans); repeated rows give a row each.
+Defined results: null counts as empty (no spans); repeated rows and rows without an id give a row each; an empty
+table gives none; very long texts are read whole; other columns play no part.
 """
 
 from __future__ import annotations

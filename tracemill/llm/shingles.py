@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, U, discard, map_rows, mix, pieces, release, settle, sized, words_of
+from .words import SPACED, U, discard, free, map_rows, mix, pieces, release, settle, sized, words_of
 
 WORDS = 5
 BLOCK = 192  # classes in a block of a prefix-tree join, about
@@ -648,13 +648,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Where ids repeat, rows get numbers of their own in the order of the ids, so that an id stands for one text.
     """
+    number, chosen = free(docs, "number", "chosen")
     own = F.col("doc_id").cast("long")
     rows, key = docs.where(own.isNotNull()), own
     if _repeated(docs.select(own.alias("doc_id"))):
-        rows = settle(rows.orderBy(own, F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
-        key = F.col("_row")
-    told = near_duplicates(rows.select(key.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return rows.join(told, key == F.col("_id"), "left_semi").select(*docs.columns).unionByName(docs.where(own.isNull()))
+        rows = settle(rows.orderBy(own, F.xxhash64("text")).withColumn(number, F.monotonically_increasing_id()))
+        key = F.col(number)
+    told = near_duplicates(rows.select(key.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias(chosen))
+    return rows.join(told, key == F.col(chosen), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(own.isNull()))
 
 
 SQL = r"""WITH RECURSIVE word AS (
