@@ -142,6 +142,15 @@ def test_hot_shingles_without_links(spark, monkeypatch):
     assert got == brute_force(rows) and 30 < len({r[2] for r in got}) < 190
 
 
+def test_components_of_few_and_many_edges(spark):
+    rng = random.Random(13)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 60)]
+    df = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long")
+    one, two = (sorted(map(tuple, shingles.components(df, few).collect())) for few in (1000, 0))
+    assert one == two and (1040, 1000) in one and (2059, 2000) in one
+    assert shingles.components(df.limit(0)).count() == 0 == shingles.components(df.limit(0), 0).count()
+
+
 def test_nested_sets_beyond_the_recursion_limit():
     sets = [np.arange(1, n + 1, dtype=U) for n in range(1, 1500)]
     assert len(shingles.tree_join(sets[-40:] + sets[:20], list(range(60)))) > 50

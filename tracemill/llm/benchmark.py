@@ -36,6 +36,7 @@ from .words import ALNUM, U, map_rows, mix, pieces, release, words_of
 
 PAIR = "doc_id long, item_id long, distance int, first_word long, last_word long"
 Item = tuple[int | None, str]
+_STEP = 16  # repetitions that a simulation tries at once
 
 
 @dataclass(frozen=True)
@@ -154,8 +155,8 @@ class Index:
         starts = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         return starts[x[starts] != 0]
 
-    def candidates(self, x: np.ndarray, tables: dict[int, list[_Table]] | None = None) -> list[np.ndarray]:
-        """Rows (place, item, repetition) for each length. x ends each text with a 0."""
+    def candidates(self, x: np.ndarray, tables: dict[int, list[_Table]] | None = None, begin: int = 0) -> list[np.ndarray]:
+        """Rows (place, item, repetition) for each length; the tables are those of the repetitions from ``begin``. x ends each text with a 0."""
         out = []
         pairs = _pairs(x)
         pairs[pairs == 0] = 1  # no pair
@@ -165,10 +166,10 @@ class Index:
             starts = self._windows(x, hits, n)
             for lo in range(0, len(starts), 1 << 14):
                 part = starts[lo : lo + (1 << 14)]
-                keys = _walks(x, part, self.plan, n, range(len(found)))
+                keys = _walks(x, part, self.plan, n, range(begin, begin + len(found)))
                 for r, table in enumerate(found):
                     at, item = table.met(keys[r])
-                    out.append(np.stack([part[at], item, np.full(len(at), r)], 1))
+                    out.append(np.stack([part[at], item, np.full(len(at), begin + r)], 1))
         return out
 
     def _simulated(self) -> dict[int, int]:
@@ -185,23 +186,26 @@ class Index:
                 out[n] = out[last]
                 continue
             rng, own = np.random.default_rng([plan.seed, n]), self.lengths[n]
-            keys = self._item_keys(n, own, range(plan.most_repetitions))
-            tables = {n: [_Table(keys[r], np.array(own)) for r in range(plan.most_repetitions)]}
-            parts, told, at = [], [], 0
-            for trial in range(plan.trials):
-                told.append(own[trial % len(own)])
+            parts, told = [], np.array(own)[np.arange(plan.trials) % len(own)]
+            for k in told.tolist():
                 around = rng.integers(1, 2**63, 2 * n + 2, dtype=U)
-                copy = edited(self.items[told[-1]][1], plan.edits(n), rng)
-                parts += [around[: n + 1], copy, around[n + 1 :], np.zeros(1, U)]
+                parts += [around[: n + 1], edited(self.items[k][1], plan.edits(n), rng), around[n + 1 :], np.zeros(1, U)]
             x = np.concatenate(parts)
             ends = np.flatnonzero(x == 0)
-            first = np.full(plan.trials, plan.most_repetitions)
-            for place, item, r in np.concatenate(self.candidates(x, tables)).tolist():
-                trial = int(np.searchsorted(ends, place))
-                if told[trial] == item:
-                    first[trial] = min(first[trial], r)
-            found = np.cumsum(np.bincount(first, minlength=plan.most_repetitions + 1)) / plan.trials
-            out[n] = min(plan.most_repetitions, int(np.argmax(found >= min(plan.target_recall, found[plan.most_repetitions - 1]))) + 1)
+            found, out[n] = np.zeros(plan.trials, bool), plan.most_repetitions
+            for begin in range(0, plan.most_repetitions, _STEP):
+                keys = self._item_keys(n, own, range(begin, min(begin + _STEP, plan.most_repetitions)))
+                hits = np.concatenate([np.zeros((0, 3), np.int64), *self.candidates(x, {n: [_Table(k, np.array(own)) for k in keys]}, begin)])
+                trial = np.searchsorted(ends, hits[:, 0])
+                right = hits[:, 1] == told[trial]
+                for r in range(begin, begin + len(keys)):
+                    found[trial[right & (hits[:, 2] == r)]] = True
+                    if found.mean() >= plan.target_recall:
+                        out[n] = r + 1
+                        break
+                else:
+                    continue
+                break
             last = n
         return out
 

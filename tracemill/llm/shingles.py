@@ -17,7 +17,7 @@ fewer words the whole sequence). Two texts link when 100 * intersection >= 75 *
    must share one. Classes that share one make a pair if their signatures (parities, of which no more can
    differ than elements) allow a link; under hot shingles the signatures meet in cells. The circles that these
    pairs form meet by size band, large ones in blocks pairwise; each meeting is a prefix-tree join of the sets.
-6. Components of components, by label propagation over written tables.
+6. Components of components: few edges in one task, many by label propagation over written tables.
 
 In the tree, sets with the same beginning share it, with the overlap counted so far; a subtree is left as
 soon as the overlap plus what may remain falls short for every size below it. Two classes that are joined
@@ -31,13 +31,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, U, discard, free, map_rows, mix, pieces, release, settle, sized, words_of
+from .words import BROADCAST_ROWS, SPACED, U, discard, free, map_rows, mix, pieces, release, settle, sized, words_of
 
 WORDS = 5
 BLOCK = 192  # classes in a block of a prefix-tree join, about
@@ -344,7 +345,7 @@ def _contract(sets: DataFrame) -> DataFrame:
     as long as a round leaves a key three quarters of its classes at most. What is left then, if more than a
     block, is for the late links to find.
     """
-    edges = []
+    rounds, sizes = [], []
     for k in range(_KEYS):
         live, before, number = sets.select("c", F.col(f"k{k}").alias("key"), "tokens"), None, 0
         while True:
@@ -352,25 +353,49 @@ def _contract(sets: DataFrame) -> DataFrame:
             if before is not None:
                 size = size.join(before.withColumnRenamed("m", "was"), "key").where(F.col("m") <= F.col("was") * F.when(F.col("m") <= BLOCK, 1.0).otherwise(0.75)).drop("was")
             size = sized(size)
+            sizes.append(size)
             met = live.join(size.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m"), "key").withColumn("s", F.pmod(F.xxhash64("c", F.lit(number)), F.col("parts")))
             told = settle(met.groupBy("key", "s").applyInArrow(_block_links, "c long, leader long, key long, parts int"))
-            edges.append(settle(told.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))))
+            rounds.append(told)
             again = told.where("c = leader AND parts > 1").select("c", "key")
             if again.isEmpty():
-                discard(size, told)
                 break
-            live, before, number = sets.select("c", "tokens").join(sized(again), "c"), size, number + 1
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.unionByName(more)
-    return settle(out.distinct(), *edges)
+            again = sized(again)
+            sizes.append(again)
+            live, before, number = sets.select("c", "tokens").join(again, "c"), size, number + 1
+    links = [told.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b")) for told in rounds]
+    return settle(reduce(DataFrame.unionByName, links).distinct(), *rounds, *sizes)
 
 
 # -- Step 6
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: the least node that each node of ``a, b`` can reach. Tables are written at every step."""
+def _forest(table: pa.Table) -> pa.Table:
+    """All of a few edges: the least node that each can reach."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = up[p]
+            x = up[x]
+        return x
+
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    nodes = list(up)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+
+
+def components(edges: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """``node, root``: the least node that each node of ``a, b`` can reach.
+
+    Up to ``few`` edges (counted) are one task's work; more go by label propagation with tables written at every step.
+    """
+    own = () if getattr(edges, "_settled", None) else (settle(edges.select("a", "b")),)
+    edges = own[0] if own else edges
+    if edges.count() <= few:
+        return settle(edges.groupBy(F.lit(0).alias("all")).applyInArrow(_forest, "node long, root long"), *own)
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
     while True:
@@ -381,7 +406,7 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
         label._settled = new._settled
         if new.where("old <> root").isEmpty():
-            discard(both)
+            discard(both, *own)
             return label
 
 
