@@ -168,7 +168,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Rows hold texts or sets of some KB each, so the default of 10,000 makes batches of tens of MB, several of them for each task.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * PIECE),
+}
 
 
 def settle(df: DataFrame, *superseded: DataFrame) -> DataFrame:
@@ -177,12 +182,14 @@ def settle(df: DataFrame, *superseded: DataFrame) -> DataFrame:
     The shuffle files of the write go with it, as do the ``superseded`` tables of earlier calls, which no plan may read any more.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     discard(*superseded)
